@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.columns import to_column
 
@@ -65,7 +66,7 @@ def normal_cdf(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _f_tail(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     f, d1, d2 = (s.astype(float).to_numpy() for s in (f, d1, d2))
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -73,7 +74,7 @@ def _f_tail(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series(incomplete_beta(d2 / 2.0, d1 / 2.0, x)).replace({np.nan: None})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     t, df = (s.astype(float).to_numpy() for s in (t, df))
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -81,7 +82,7 @@ def _t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(incomplete_beta(df / 2.0, 0.5, x)).replace({np.nan: None})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _normal_tail(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2.0)))
 
