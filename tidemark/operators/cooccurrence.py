@@ -52,19 +52,24 @@ def item_pairs(df: DataFrame, items: str, top_n: int = 100, max_pairs: int = 500
     partial aggregation keeps no more keys than that per task.
     """
     counts = top_item_counts(df, items, top_n)
-    first = counts.select("counts", F.posexplode("counts").alias("i", "a"))
-    other = first.select(
-        "a",
-        F.explode(F.slice("counts", F.col("i") + 1, F.size("counts"))).alias("b"),
-    )
-    a, b = F.col("a.tf").cast("long"), F.col("b.tf").cast("long")
-    same = F.col("a.term") == F.col("b.term")
-    return (
-        other.select(
-            F.col("a.term").alias("skill_a"),
-            F.col("b.term").alias("skill_b"),
-            F.when(same, F.expr("a.tf * (a.tf - 1) div 2")).otherwise(a * b).alias("w"),
+    # One array per row and a single explode: columns carried across an explode are computed anew
+    # for every exploded element.
+    c = F.col("counts")
+
+    def from_position(a, i):
+        return F.transform(
+            F.slice(c, i + 1, F.size(c)),
+            lambda b: F.struct(
+                a["term"].alias("skill_a"),
+                b["term"].alias("skill_b"),
+                F.when(a["term"] == b["term"], (a["tf"] * (a["tf"] - 1) / 2).cast("long"))
+                .otherwise(a["tf"].cast("long") * b["tf"])
+                .alias("w"),
+            ),
         )
+
+    return (
+        counts.select(F.inline(F.flatten(F.transform(c, from_position))))
         .where(F.col("w") > 0)
         .groupBy("skill_a", "skill_b")
         .agg(F.sum("w").alias("weight"))

@@ -19,17 +19,19 @@ def exact_quantiles(
     probabilities: Sequence[float],
     names: Sequence[str],
     accuracy: int = 20_000,
+    whole_below: int = 100_000,
 ) -> DataFrame:
     """Linearly interpolated quantiles per key, plus the number of values ``n``.
 
-    The sketch is off by at most ``1/accuracy`` of the group, and the bracket is twice that wide
-    on both sides, so about ``4/accuracy`` of a group's rows reach the ordering step. Sketch
-    results are one row per key. Without keys that single row is broadcast; with keys the join is
-    left to adaptive execution, which broadcasts on the measured size and splits skewed keys
-    otherwise.
+    The sketch is off by at most ``1/accuracy`` of the group, and the bracket reaches three times
+    that far to both sides, so about ``6/accuracy`` of a group's rows reach the ordering step; a
+    group of at most ``whole_below`` rows is ordered whole. Sketch results are one row per key.
+    Without keys that single row is broadcast; with keys the join is left to adaptive execution,
+    which broadcasts on the measured size and splits skewed keys otherwise.
     """
     keys = list(keys)
-    margin = 2.0 / accuracy
+    margin = 3.0 / accuracy
+    small = F.col("n") <= whole_below
     rows = df.na.drop(subset=[*keys, value]).select(
         *keys, F.col(value).cast("double").alias("_v")
     )
@@ -47,8 +49,12 @@ def exact_quantiles(
                 F.struct(
                     F.lit(i).alias("i"),
                     (F.lit(float(p)) * (F.col("n") - 1)).alias("at"),
-                    F.get("_edges", F.lit(2 * i)).alias("low"),
-                    F.get("_edges", F.lit(2 * i + 1)).alias("high"),
+                    F.when(small, F.lit(float("-inf")))
+                    .otherwise(F.get("_edges", F.lit(2 * i)))
+                    .alias("low"),
+                    F.when(small, F.lit(float("inf")))
+                    .otherwise(F.get("_edges", F.lit(2 * i + 1)))
+                    .alias("high"),
                 )
                 for i, p in enumerate(probabilities)
             ]

@@ -97,7 +97,7 @@ def shares(df: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:
 
 def contingency(df: DataFrame, rows: str, columns: str, levels: Sequence) -> DataFrame:
     """Counts of two codes with the column code spread over known levels; absent cells are 0."""
-    spread = df.groupBy(rows).pivot(columns, list(levels)).agg(F.count("*"))
+    spread = df.groupBy(rows).pivot(columns, list(levels)).agg(F.count(F.lit(1)))
     return spread.na.fill(0, subset=[str(v) for v in levels])
 
 

@@ -1,7 +1,9 @@
 """Queries over the fixture tables with an equivalent SQL text for checking."""
 
 from tidemark.registry import (  # noqa: F401
+    aggregates,
     ingest,
+    reshaping,
     scalars,
 )
 from tidemark.registry.core import ORACLES, QUERIES
