@@ -29,7 +29,11 @@ def value_ranks(
     edges = rows.agg(
         F.percentile_approx(F.col(value).cast("double"), steps, 10_000).alias("e")
     ).scalar()
-    counts = counts.withColumn("b", F.size(F.filter(edges, lambda e: e < F.col("v"))))
+    counts = (
+        counts.withColumn("_edges", edges)
+        .withColumn("b", F.size(F.filter("_edges", lambda e: e < F.col("v"))))
+        .drop("_edges")
+    )
     totals = counts.groupBy("b").agg(F.sum("c").alias("t"))
     # At most _BUCKETS rows, so one task and a broadcast are bounded.
     below = totals.select(

@@ -5,6 +5,8 @@ from tidemark.registry import (  # noqa: F401
     ingest,
     reshaping,
     scalars,
+    sequences,
+    tests,
 )
 from tidemark.registry.core import ORACLES, QUERIES
 
