@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BUCKETS = 256
-_SALTS = 16
 
 
 def value_ranks(
@@ -26,14 +26,12 @@ def value_ranks(
         F.count("*").alias("c"), *[c.alias(name) for name, c in extra.items()]
     )
     steps = [i / _BUCKETS for i in range(1, _BUCKETS)]
+    # A few hundred numbers come to the driver, so that every use of the buckets sees the same edges.
     edges = rows.agg(
         F.percentile_approx(F.col(value).cast("double"), steps, 10_000).alias("e")
-    ).scalar()
-    counts = (
-        counts.withColumn("_edges", edges)
-        .withColumn("b", F.size(F.filter("_edges", lambda e: e < F.col("v"))))
-        .drop("_edges")
-    )
+    ).first()["e"]
+    splits = [float("-inf"), *(sorted(set(edges or [])) or [0.0]), float("inf")]
+    counts = Bucketizer(splits=splits, inputCol="v", outputCol="b").transform(counts)
     totals = counts.groupBy("b").agg(F.sum("c").alias("t"))
     # At most _BUCKETS rows, so one task and a broadcast are bounded.
     below = totals.select(
@@ -50,32 +48,38 @@ def value_ranks(
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation of two columns over the rows where both are present."""
+    """Rank correlation of two columns over the rows where both are present.
+
+    Equal pairs are counted before the ranks are joined on. A value shared by many different
+    pairs makes a skewed join key, which adaptive execution splits; the rank side has one row per
+    distinct value.
+    """
     rows = df.select(
         F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
     ).na.drop()
-    pairs = rows.groupBy("x", "y").agg(F.count("*").alias("c"))
-
-    def attach(table: DataFrame, column: str, other: str) -> DataFrame:
-        # A value shared by many rows is spread over the salts of its partner column.
-        ranks = value_ranks(rows, column).select(
-            F.col("v").alias(column),
-            F.col("rank").alias(f"r{column}"),
-            F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"),
+    ranked = rows.groupBy("x", "y").agg(F.count("*").alias("c"))
+    for column in ("x", "y"):
+        ranks = value_ranks(rows, column)
+        ranked = ranked.join(
+            ranks.select(F.col("v").alias(column), F.col("rank").alias(f"r{column}")), column
+        )
+    c, rx, ry = F.col("c"), F.col("rx"), F.col("ry")
+    n = F.col("n")
+    centre = n * (n + 1) * (n + 1) / 4.0
+    return (
+        ranked.agg(
+            F.sum("c").alias("n"),
+            F.sum(c * rx * ry).alias("xy"),
+            F.sum(c * rx * rx).alias("xx"),
+            F.sum(c * ry * ry).alias("yy"),
+        )
+        .select(
+            "n",
+            F.try_divide(
+                F.col("xy") - centre,
+                F.sqrt((F.col("xx") - centre) * (F.col("yy") - centre)),
+            ).alias("rho"),
         )
-        salted = table.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(_SALTS)).cast("int"))
-        return salted.join(ranks, [column, "salt"]).drop("salt")
-
-    ranked = attach(attach(pairs, "x", "y"), "y", "x")
-    n, half = F.sum("c"), (F.sum("c") + 1) / 2
-    mean = ranked.agg(half.alias("m")).scalar()
-    dx, dy = F.col("rx") - mean, F.col("ry") - mean
-    return ranked.agg(
-        n.alias("n"),
-        F.try_divide(
-            F.sum(F.col("c") * dx * dy),
-            F.sqrt(F.sum(F.col("c") * dx * dx) * F.sum(F.col("c") * dy * dy)),
-        ).alias("rho"),
     )
 
 
