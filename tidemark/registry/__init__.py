@@ -3,9 +3,11 @@
 from tidemark.registry import (  # noqa: F401
     aggregates,
     ingest,
+    recovery,
     reshaping,
     scalars,
     sequences,
+    stations,
     tests,
 )
 from tidemark.registry.core import ORACLES, QUERIES
