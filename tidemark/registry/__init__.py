@@ -2,6 +2,7 @@
 
 from tidemark.registry import (  # noqa: F401
     aggregates,
+    corpus,
     ingest,
     recovery,
     reshaping,
