@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import run_counts, run_starts, word_tokens
+from tidemark.runtime import cut_lineage
 
 MAX_FEATURES = 5000
 MIN_DOCUMENTS = 5
@@ -51,17 +52,26 @@ def vocabulary(
     min_documents: int = MIN_DOCUMENTS,
     max_share: float = MAX_SHARE,
 ) -> DataFrame:
-    """At most ``max_features`` terms with ``df`` and ``idf``: document-frequency limits first,
-    then the largest corpus counts, ties in term order."""
-    documents = terms.agg(F.count("*").cast("double").alias("n")).scalar()
-    return (
-        terms.select(F.explode("counts").alias("t"))
+    """At most ``max_features`` terms with ``df``, ``cf`` and ``idf``: document-frequency limits
+    first, then the largest corpus counts, ties in term order.
+
+    One pass over the documents: an empty marker term counts them along with the real terms. The
+    per-term totals are written once, because the limits need the number of documents first.
+    """
+    marker = F.array(F.struct(F.lit("").alias("term"), F.lit(1).alias("tf")))
+    totals = cut_lineage(
+        terms.select(F.explode(F.concat(marker, "counts")).alias("t"))
         .groupBy(F.col("t.term").alias("term"))
         .agg(F.count("*").alias("df"), F.sum("t.tf").alias("cf"))
-        .where((F.col("df") >= min_documents) & (F.col("df") <= max_share * documents))
+        .where((F.col("df") >= min_documents) | (F.col("term") == ""))
+    )
+    row = totals.where(F.col("term") == "").first()
+    documents = float(row["df"]) if row else 0.0
+    return (
+        totals.where((F.col("term") != "") & (F.col("df") <= max_share * documents))
         .orderBy(F.desc("cf"), "term")
         .limit(max_features)
-        .withColumn("idf", F.log((1 + documents) / (1 + F.col("df"))) + 1)
+        .withColumn("idf", F.log((1 + F.lit(documents)) / (1 + F.col("df"))) + 1)
     )
 
 
@@ -80,6 +90,21 @@ def term_weights(terms: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
     return weighted.select(key, "term", (F.col("raw") / norm).alias("w"))
 
 
+def fit_transform(
+    df: DataFrame,
+    key: str,
+    clean: str,
+    stop_words: Sequence[str] | None = None,
+    max_features: int = MAX_FEATURES,
+    min_documents: int = MIN_DOCUMENTS,
+    max_share: float = MAX_SHARE,
+) -> DataFrame:
+    """Weights of all documents. The term counts are written once and read by both passes."""
+    terms = cut_lineage(document_terms(df, key, clean, stop_words))
+    vocab = vocabulary(terms, max_features, min_documents, max_share)
+    return term_weights(terms, key, vocab)
+
+
 def fit_sample(df: DataFrame, key: str, keep: float, seed: int = 42) -> DataFrame:
     """Rows whose hashed key falls below ``keep``: the same rows however the table is
     partitioned. Used only when the caller asks to fit on a part of the corpus."""

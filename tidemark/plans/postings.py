@@ -29,6 +29,7 @@ from tidemark.functions.text import (
 from tidemark.operators.inference import welch_columns, yates_columns
 from tidemark.operators.quantiles import exact_median, exact_quantiles
 from tidemark.operators.rollup import first_by
+from tidemark.runtime import cut_lineage
 
 # Spellings of the full-time code.
 FULL_TIME_CODES = ("FULL_TIME", "FULL-TIME", "FULLTIME")
@@ -99,7 +100,8 @@ def seed_scores(
     """Hits per category, total, density per 1000 characters (at most 10) and the seed flag.
 
     All categories are counted in one projection over one scan. With ``density_quantile`` a
-    density above that exact quantile sets the flag as well.
+    density above that exact quantile sets the flag as well; the counts are then written once,
+    since the quantile and the flag both read them.
     """
     hits = {
         f"hits_{name}": count_phrases(text, phrases, word_boundary)
@@ -116,6 +118,7 @@ def seed_scores(
     )
     flag = positive_count(names) >= min_categories
     if density_quantile is not None:
+        rows = cut_lineage(rows)
         limit = exact_quantiles(rows, [], "seed_density", [density_quantile], ["q"])
         flag = flag | (F.col("seed_density") > limit.select("q").scalar())
     return rows.withColumn("is_new_quality_seed", flag)

@@ -11,6 +11,7 @@ from tidemark.plans import skills as K
 from tidemark.registry.core import query, shaped
 from tidemark.registry.tests import sql_normal_tail, sql_t_tail
 from tidemark.registry.views import SEEDS, v_points, v_postings, v_skills
+from tidemark.runtime import cut_lineage
 
 _REMOTE = ["small ring", "red"]
 _TECH = {"a": ["ring", "gear"], "b": ["hot", "blue bolt"]}
@@ -28,6 +29,11 @@ def scored(spark, d):
     return P.seed_scores(prepared(spark, d), SEEDS)
 
 
+def written_scores(spark, d):
+    """The scores as a written table, for queries that read them more than once."""
+    return cut_lineage(scored(spark, d))
+
+
 @query(
     "h14_skills_preparation",
     """SELECT row_id, text_clean, array_to_string(regexp_split_to_array(text_clean, '\\s*,\\s*'), '|')
@@ -115,7 +121,7 @@ def h18(spark, d):
     "prepared",
 )
 def h19(spark, d):
-    out = P.structured_summary(prepared(spark, d))
+    out = P.structured_summary(cut_lineage(prepared(spark, d)))
     return shaped(
         out,
         {
@@ -178,8 +184,7 @@ TERM_SQL = f"""tok AS (SELECT job_id, location, list_filter(
 
 
 def weights(spark, d, features: int = 500):
-    terms = W.document_terms(prepared(spark, d), "job_id", "nlp_text_clean", _STOP_LIST)
-    return W.term_weights(terms, "job_id", W.vocabulary(terms, features))
+    return W.fit_transform(prepared(spark, d), "job_id", "nlp_text_clean", _STOP_LIST, features)
 
 
 @query(
@@ -259,10 +264,8 @@ _LANGS = ["de", "en", "es", "fr"]
 )
 def h21(spark, d):
     """Labels of given topics: each language is a topic with its summed term weights."""
-    places = prepared(spark, d).select(
-        "job_id",
-        (F.array_position(F.array(*[F.lit(v) for v in _LANGS]), F.col("location")) - 1).alias("topic"),
-    )
+    topic = F.array_position(F.array(*[F.lit(v) for v in _LANGS]), F.col("location")) - 1
+    places = v_postings(spark, d).select("job_id", topic.alias("topic"))
     sums = (
         weights(spark, d)
         .join(places, "job_id")
@@ -320,11 +323,10 @@ def h22(spark, d):
     )
 
 
-def classified(spark, d):
+def classified(spark, d, scores=None):
     points, labels = _given_topics(spark, d)
-    return P.classify_postings(
-        P.classify_by_topic(points, labels, "job_id"), scored(spark, d), "job_id"
-    )
+    scores = scored(spark, d) if scores is None else scores
+    return P.classify_postings(P.classify_by_topic(points, labels, "job_id"), scores, "job_id")
 
 
 @query(
@@ -406,7 +408,7 @@ _COMPARISON_SQL = " UNION ALL ".join(
     "scored",
 )
 def h24(spark, d):
-    rows = scored(spark, d).withColumnRenamed("is_new_quality_seed", "is_new_quality")
+    rows = written_scores(spark, d).withColumnRenamed("is_new_quality_seed", "is_new_quality")
     values = {c: 6 for c in ("new_value", "traditional_value", "difference", "statistic")}
     return shaped(
         P.compare_groups(rows, "is_new_quality", _HITS),
@@ -421,7 +423,7 @@ def h24(spark, d):
     "scored",
 )
 def h24_medians(spark, d):
-    out = P.salary_medians(scored(spark, d), "is_new_quality_seed")
+    out = P.salary_medians(written_scores(spark, d), "is_new_quality_seed")
     return shaped(out, {"is_new_quality_seed": None, "n": None, "median_salary": 6})
 
 
@@ -437,9 +439,9 @@ def h24_medians(spark, d):
     "scored",
 )
 def c17(spark, d):
-    rows = classified(spark, d).join(
-        prepared(spark, d).select("job_id", "remote_allowed", "normalized_salary", "is_fulltime"),
-        "job_id",
+    scores = written_scores(spark, d)
+    rows = classified(spark, d, scores).join(
+        scores.select("job_id", "remote_allowed", "normalized_salary", "is_fulltime"), "job_id"
     )
     shape = {"primary_topic": "long", "n_jobs": None, "remote_pct": 8, "avg_salary": 6}
     return shaped(
