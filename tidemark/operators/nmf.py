@@ -145,7 +145,8 @@ def fit_topics(
     seed: int = 42,
     inner_steps: int = 20,
 ) -> TopicModel:
-    """Factorise ``docs`` (from :func:`sparse_rows`); cache ``docs`` before calling.
+    """Factorise ``docs`` (from :func:`sparse_rows`), which should be a written or cached table
+    because every iteration reads it.
 
     Stops when the error falls by less than ``tolerance`` of its first value.
     """

@@ -4,6 +4,7 @@ from tidemark.registry import (  # noqa: F401
     aggregates,
     corpus,
     ingest,
+    models,
     recovery,
     reshaping,
     scalars,

@@ -8,6 +8,7 @@ from tidemark.operators import nmf as N
 from tidemark.operators import tfidf as W
 from tidemark.plans import postings as P
 from tidemark.plans import skills as K
+from tidemark.plans.topics import run_topic_model
 from tidemark.registry.core import query, shaped
 from tidemark.registry.tests import sql_normal_tail, sql_t_tail
 from tidemark.registry.views import SEEDS, v_points, v_postings, v_skills
@@ -214,19 +215,22 @@ def j2(spark, d):
 
 
 def _topic_model(spark, d):
-    table = weights(spark, d, features=300).persist()
-    terms = sorted(r["term"] for r in table.select("term").distinct().collect())  # <= 300 terms
-    docs = N.sparse_rows(table, "job_id", terms).persist()
-    model = N.fit_topics(docs, terms, topics=6, max_iter=12)
-    table.unpersist()
-    return docs, model
+    return run_topic_model(
+        prepared(spark, d),
+        "job_id",
+        "nlp_text_clean",
+        topics=6,
+        max_features=300,
+        max_iter=12,
+        stop_words=_STOP_LIST,
+    )
 
 
 @query("j4_topic_factorisation")
 def j4(spark, d):
     """Topic weights of every posting."""
-    docs, model = _topic_model(spark, d)
-    return N.document_topics(docs, "job_id", model)
+    document_topics, _ = _topic_model(spark, d)
+    return document_topics
 
 
 @query("h21_topic_model_labels")
