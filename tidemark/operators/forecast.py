@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
@@ -71,8 +72,8 @@ def forecast_lag_trees(
 ) -> DataFrame:
     """``(series, step, prediction)`` for steps 1..horizon, feeding predictions back as lags.
 
-    The state of a series is its last ``max(lags)`` values, so every step advances all series at
-    once; the lineage is cut every few steps. A series with fewer than ``minimum_rows`` lag rows
+    The state of a series is its last ``max(lags)`` values in as many columns, so a step scores all
+    series at once and shifts the columns by renaming; the lineage is cut every few steps. A series with fewer than ``minimum_rows`` lag rows
     gets its training mean.
     """
     depth = max(lags)
@@ -85,30 +86,27 @@ def forecast_lag_trees(
         .agg(F.sort_array(F.collect_list(F.struct("_back", F.col(value).cast("double").alias("v")))).alias("_h"))
     )
     usable = (F.col("_n") - depth >= minimum_rows) & (F.col("_mean") != 0)
+    history = [f"_h{i}" for i in range(depth)]
     state = scale.join(recent, series).select(
         series,
         "_mean",
         usable.alias("_usable"),
-        F.transform("_h", lambda h: h["v"]).alias("_h"),
         F.array().cast("array<double>").alias("_out"),
+        *[
+            F.when(usable, F.get("_h", F.lit(i))["v"] / F.col("_mean")).otherwise(1.0).alias(name)
+            for i, name in enumerate(history)
+        ],
     )
-    state = state.withColumn(
-        "_h",
-        F.when(F.col("_usable"), F.transform("_h", lambda v: v / F.col("_mean"))).otherwise(
-            F.array_repeat(F.lit(1.0), depth)
-        ),
-    )
+    features = VectorAssembler(inputCols=[history[k - 1] for k in lags], outputCol=FEATURES)
     for step in range(1, horizon + 1):
-        features = array_to_vector(F.array(*[F.get("_h", F.lit(k - 1)) for k in lags]))
-        scored = model.transform(state.withColumn(FEATURES, features))
+        scored = model.transform(features.transform(state))
+        shifted = [F.col(a).alias(b) for a, b in zip([PREDICTION, *history], history)]
         state = scored.select(
             series,
             "_mean",
             "_usable",
-            F.concat(
-                F.array(F.col(PREDICTION)), F.slice("_h", F.lit(1), F.lit(depth - 1))
-            ).alias("_h"),
             F.concat("_out", F.array(F.col(PREDICTION))).alias("_out"),
+            *shifted,
         )
         if step % _STEPS_PER_CUT == 0 and step < horizon:
             state = cut_lineage(state)
