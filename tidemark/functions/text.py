@@ -4,17 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import to_column
 
 
 def clean_text(c: Column | str, keep_commas: bool = False) -> Column:
-    """Lower case, symbols to blanks, blanks squeezed, ends trimmed."""
-    allowed = "a-z0-9+#,\\s" if keep_commas else "a-z0-9+#\\s"
-    plain = F.regexp_replace(F.lower(to_column(c)), f"[^{allowed}]", " ")
-    return F.trim(F.regexp_replace(plain, "\\s+", " "))
+    """Lower case, symbols to blanks, blanks squeezed, ends trimmed.
+
+    Every run of symbols and white space becomes one blank, so a single pattern does both steps.
+    The pattern lists the replaced characters as ranges, which Java matches several times faster
+    than the negation of the kept ones (letters, digits, ``+``, ``#`` and perhaps the comma).
+    """
+    after_plus = "\\x2D-\\x2F" if keep_commas else "\\x2C-\\x2F"
+    replaced = f"[\\x00-\\x22\\x24-\\x2A{after_plus}\\x3A-\\x60\\x7B-\\x{{10FFFF}}]+"
+    return F.trim(F.regexp_replace(F.lower(to_column(c)), replaced, " "))
+
+
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters read without computing it again.
+
+    A filter on a plain projected column is pushed below the projection together with a copy of
+    the expression; it does not move below a generator.
+    """
+    kept = [c for c in df.columns if c != name]
+    return df.select(*kept, F.explode(F.array(value)).alias(name))
 
 
 def split_commas(c: Column | str) -> Column:
@@ -61,11 +76,19 @@ def contains_any(c: Column | str, phrases: Iterable[str], word_boundary: bool =
     )
 
 
-def count_phrases(c: Column | str, phrases: Iterable[str], word_boundary: bool = False) -> Column:
-    """Number of non-overlapping matches, ignoring case."""
-    return F.regexp_count(
-        to_column(c), F.lit(f"(?i){phrase_pattern(phrases, word_boundary)}")
-    )
+def count_phrases(
+    c: Column | str,
+    phrases: Iterable[str],
+    word_boundary: bool = False,
+    lowered: bool = False,
+) -> Column:
+    """Number of non-overlapping matches, ignoring case; ``lowered`` says that the text has no
+    upper case, so lower-case phrases match it directly."""
+    if lowered:
+        pattern = phrase_pattern({p.lower() for p in phrases}, word_boundary)
+    else:
+        pattern = f"(?i){phrase_pattern(phrases, word_boundary)}"
+    return F.regexp_count(to_column(c), F.lit(pattern))
 
 
 def words_in(words: Column | str, phrases: Iterable[str]) -> Column:
@@ -81,7 +104,7 @@ def category_tag(names: Column | str, default: str) -> Column:
 
 def word_tokens(clean: Column | str, min_length: int = 2) -> Column:
     """Word tokens of cleaned text without the short ones."""
-    words = F.split(to_column(clean), "[^a-z0-9_]+")
+    words = F.split(to_column(clean), "[ +#,]+")
     return F.filter(words, lambda w: F.length(w) >= min_length)
 
 

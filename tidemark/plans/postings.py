@@ -21,6 +21,7 @@ from tidemark.functions.tails import chi2_one_tail, t_tail
 from tidemark.functions.text import (
     category_tag,
     clean_text,
+    computed_once,
     count_phrases,
     join_text,
     normal_code,
@@ -51,9 +52,10 @@ def prepare_postings(df: DataFrame, key: str = "job_id", min_length: int = 20) -
     """
     firsts = first_by(df, ["company_name", "title"], key)
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
+    texts = firsts.withColumns({"title": empty("title"), "description": empty("description")})
+    cleaned = clean_text(join_text("title", "description"))
     rows = (
-        firsts.withColumns({"title": empty("title"), "description": empty("description")})
-        .withColumn("nlp_text_clean", clean_text(join_text("title", "description")))
+        computed_once(texts, "nlp_text_clean", cleaned)
         .withColumn("text_len", F.length("nlp_text_clean"))
         .where(F.col("text_len") > min_length)
         .withColumns(
@@ -97,14 +99,14 @@ def seed_scores(
     density_quantile: float | None = None,
     word_boundary: bool = False,
 ) -> DataFrame:
-    """Hits per category, total, density per 1000 characters (at most 10) and the seed flag.
+    """Hits in the cleaned text per category, total, density per 1000 characters (at most 10) and the seed flag.
 
     All categories are counted in one projection over one scan. With ``density_quantile`` a
     density above that exact quantile sets the flag as well; the counts are then written once,
     since the quantile and the flag both read them.
     """
     hits = {
-        f"hits_{name}": count_phrases(text, phrases, word_boundary)
+        f"hits_{name}": count_phrases(text, phrases, word_boundary, lowered=True)
         for name, phrases in seeds.items()
     }
     names = list(hits)

@@ -12,6 +12,7 @@ from tidemark.functions.seeds import BASE_SEEDS, REMOTE_KEYWORDS
 from tidemark.functions.text import (
     capture,
     clean_text,
+    computed_once,
     contains_any,
     count_non_blank,
     count_phrases,
@@ -34,8 +35,8 @@ def prepare_skills(
 
     Commas survive the cleaning, because they separate the skills.
     """
-    rows = df.withColumn(
-        "text_clean", clean_text(F.coalesce(F.col(skills), F.lit("")), keep_commas=True)
+    rows = computed_once(
+        df, "text_clean", clean_text(F.coalesce(F.col(skills), F.lit("")), keep_commas=True)
     )
     if link is not None:
         rows = rows.withColumn("job_title_raw", capture(link, title_pattern)).withColumn(
@@ -55,9 +56,9 @@ def remote_flag(text: Column | str, keywords: Iterable[str] = REMOTE_KEYWORDS) -
 def tech_density(
     text: Column | str, count: Column | str, seeds: Mapping[str, Iterable[str]] = BASE_SEEDS
 ) -> Column:
-    """Seed hits per skill, at most 1."""
+    """Seed hits in a cleaned text per skill, at most 1."""
     phrases = [p for group in seeds.values() for p in group]
-    return clip(count_phrases(text, phrases) / zero_to_one(count), high=1.0)
+    return clip(count_phrases(text, phrases, lowered=True) / zero_to_one(count), high=1.0)
 
 
 def skill_pairs(df: DataFrame, top_n: int = 100, max_pairs: int = 5000) -> DataFrame:

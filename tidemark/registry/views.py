@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import join_text
 from tidemark.plans.recovery import daily_rollup, monthly_recovery
 from tidemark.plans.stations import STATION, TIMESTAMP_FORMAT
+from tidemark.runtime import spread
 
 BASELINE = [(date(1995, 1, 1), date(1995, 2, 28))]
 BASELINE_WITH_FALLBACK = [
@@ -163,7 +164,7 @@ def v_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents"), "doc_id")
     labels = table(spark, sf_dir, "labels")
     return documents.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("job_id"),

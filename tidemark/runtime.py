@@ -50,3 +50,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the written copy."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Give a scan at least as many partitions as the session has cores, before costly text work.
+
+    Files with one row group, or quoted files that cannot be split, arrive as single partitions.
+    A scan that already has enough partitions, as any large table does, is left as it is. Call it
+    on scans only: counting the partitions of a shuffled table would run the shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.runtime import spread
 from tidemark.sources import schemas
 
 
@@ -53,6 +54,7 @@ def read_postings_csv(spark: SparkSession, path: str) -> DataFrame:
     """Quoted CSV with line breaks inside cells, reduced to the known posting columns.
 
     A multi-line file cannot be split: supply many files and write the result to Parquet once.
+    Few large files are spread over the cores after reading.
     """
     raw = (
         spark.read.option("header", True)
@@ -61,7 +63,8 @@ def read_postings_csv(spark: SparkSession, path: str) -> DataFrame:
         .option("escape", '"')
         .csv(path)
     )
-    return raw.select([F.col(c) for c in schemas.POSTING_COLUMNS if c in raw.columns])
+    kept = raw.select([F.col(c) for c in schemas.POSTING_COLUMNS if c in raw.columns])
+    return spread(kept, "job_id")
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
