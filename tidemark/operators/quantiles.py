@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.runtime import broadcast_if_small
+
 
 def exact_quantiles(
     df: DataFrame,
@@ -19,19 +21,18 @@ def exact_quantiles(
     probabilities: Sequence[float],
     names: Sequence[str],
     accuracy: int = 20_000,
-    whole_below: int = 100_000,
 ) -> DataFrame:
     """Linearly interpolated quantiles per key, plus the number of values ``n``.
 
     The sketch is off by at most ``1/accuracy`` of the group, and the bracket reaches three times
     that far to both sides, so about ``6/accuracy`` of a group's rows reach the ordering step; a
-    group of at most ``whole_below`` rows is ordered whole. Sketch results are one row per key.
-    Without keys that single row is broadcast; with keys the join is left to adaptive execution,
-    which broadcasts on the measured size and splits skewed keys otherwise.
+    group of at most ``accuracy`` rows is ordered whole. Sketch results are one row per key.
+    Without keys that single row is broadcast. With keys the sketch is computed and written when
+    this is called, so that it is broadcast only after its row count has been checked.
     """
     keys = list(keys)
     margin = 3.0 / accuracy
-    small = F.col("n") <= whole_below
+    small = F.col("n") <= accuracy
     rows = df.na.drop(subset=[*keys, value]).select(
         *keys, F.col(value).cast("double").alias("_v")
     )
@@ -61,7 +62,7 @@ def exact_quantiles(
         ).alias("_b"),
     )
     if keys:
-        joined = rows.join(brackets, keys)
+        joined = rows.join(broadcast_if_small(brackets), keys)
     else:
         joined = rows.withColumn("_one", F.lit(1)).join(
             F.broadcast(brackets.withColumn("_one", F.lit(1))), "_one"
@@ -128,7 +129,7 @@ def box_summary(df: DataFrame, key: str, value: str) -> DataFrame:
     near = v.between(F.col("q1") - reach, F.col("q3") + reach)
     return (
         df.na.drop(subset=[key, value])
-        .join(box, key)
+        .join(broadcast_if_small(box), key)
         .groupBy(key, "n", "q1", "median", "q3")
         .agg(
             F.min(F.when(near, v)).alias("whisker_low"),

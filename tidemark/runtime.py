@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -52,6 +55,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Write a table of narrow per-group rows, count it, and mark it for broadcast only when it
+    has at most ``max_rows`` rows; beyond that the join is a shuffle join whose skewed keys
+    adaptive execution splits."""
+    written = cut_lineage(df)
+    return F.broadcast(written) if written.count() <= max_rows else written
+
+
 def spread(scan: DataFrame, key: str) -> DataFrame:
     """Give a scan at least as many partitions as the session has cores, before costly text work.
 
