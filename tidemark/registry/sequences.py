@@ -84,36 +84,36 @@ def f4(spark, d):
     return shaped(out, {c: None if c == "station_id" else 8 for c in out.columns})
 
 
-_EDGE = "(lag(value, 6) OVER w + lead(value, 6) OVER w) / 2"
+_EDGE = "(lag(recovery_rate, 6) OVER w + lead(recovery_rate, 6) OVER w) / 2"
 
 
 @query(
     "f5_seasonal_decomposition",
-    f"""WITH a AS (SELECT mode, date, value,
+    f"""WITH a AS (SELECT mode, date, recovery_rate,
             (row_number() OVER w - 1) % 12 AS position, count(*) OVER (PARTITION BY mode) AS n,
-            CASE WHEN lag(value, 6) OVER w IS NOT NULL AND lead(value, 6) OVER w IS NOT NULL THEN
-              ({_EDGE} + {' + '.join(f'lag(value, {k}) OVER w + lead(value, {k}) OVER w' for k in range(1, 6))}
-               + value) / 12 END AS trend
+            CASE WHEN lag(recovery_rate, 6) OVER w IS NOT NULL AND lead(recovery_rate, 6) OVER w IS NOT NULL THEN
+              ({_EDGE} + {' + '.join(f'lag(recovery_rate, {k}) OVER w + lead(recovery_rate, {k}) OVER w' for k in range(1, 6))}
+               + recovery_rate) / 12 END AS trend
             FROM monthly WINDOW w AS (PARTITION BY mode ORDER BY date)),
-          b AS (SELECT mode, position, avg(value - trend) AS effect FROM a GROUP BY 1, 2),
+          b AS (SELECT mode, position, avg(recovery_rate - trend) AS effect FROM a GROUP BY 1, 2),
           c AS (SELECT mode, avg(effect) AS level FROM b GROUP BY 1)
         SELECT a.mode, CAST(a.date AS VARCHAR) AS date, position AS position,
-          round(trend, 4) AS trend, round(effect - level, 4) AS seasonal,
-          round(value - trend - (effect - level), 4) AS resid
+          round(trend, 8) AS trend, round(effect - level, 8) AS seasonal,
+          round(recovery_rate - trend - (effect - level), 8) AS resid
         FROM a JOIN b USING (mode, position) JOIN c USING (mode) WHERE n >= 24""",
     "monthly",
 )
 def f5(spark, d):
-    out = S.seasonal_decompose(monthly(spark, d), ["mode"], "date", "value")
+    out = S.seasonal_decompose(monthly(spark, d), ["mode"], "date", "recovery_rate")
     return shaped(
         out,
         {
             "mode": None,
             "date": "string",
             "position": "long",
-            "trend": 4,
-            "seasonal": 4,
-            "resid": 4,
+            "trend": 8,
+            "seasonal": 8,
+            "resid": 8,
         },
     )
 
