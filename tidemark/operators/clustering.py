@@ -10,10 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import rule_label
+from tidemark.runtime import cut_lineage
 
 
 def z_scores(df: DataFrame, columns: Sequence[str], suffix: str = "") -> DataFrame:
-    """Subtract the mean and divide by the population deviation (1 for a constant column)."""
+    """Subtract the mean and divide by the population deviation (1 for a constant column).
+
+    The feature table is written once, because the summary and the scaling both read it.
+    """
+    df = cut_lineage(df)
     summary = df.agg(
         F.struct(
             *[F.avg(c).alias(f"m_{c}") for c in columns],

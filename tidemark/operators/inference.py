@@ -98,9 +98,11 @@ def pearson_test(
     )
 
 
-def line_fit(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+def line_fit(
+    df: DataFrame, keys: Sequence[str], x: str, y: str, extra: Sequence[Column] = ()
+) -> DataFrame:
     """Least-squares slope and intercept with the slope's two-sided p-value (null below three
-    points or when x does not vary)."""
+    points or when x does not vary); ``extra`` aggregates join the same pass."""
     pairs = df.na.drop(subset=[x, y])
     xd, yd = F.col(x).cast("double"), F.col(y).cast("double")
     n, r2 = F.col("n"), F.col("r2")
@@ -112,6 +114,7 @@ def line_fit(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
             F.regr_slope(yd, xd).alias("slope"),
             F.regr_intercept(yd, xd).alias("intercept"),
             F.regr_r2(yd, xd).alias("r2"),
+            *extra,
         )
         .withColumn("t_stat", _guarded(n, 3, t))
         .withColumn("p_value", t_tail("t_stat", n - 2))

@@ -142,17 +142,15 @@ def commute_trend(ratios: DataFrame, period: str = "year") -> DataFrame:
 
 def commute_verdict(trend: DataFrame, period: str = "year") -> DataFrame:
     """Change and slope of the commuter share over the periods, with a rule verdict."""
-    x = F.col(period).cast("double")
-    rows = trend.select(x.alias("x"), "commute_pct")
-    ends = rows.agg(
+    rows = trend.select(F.col(period).cast("double").alias("x"), "commute_pct")
+    ends = [
         F.min_by("commute_pct", "x").alias("first_share"),
         F.max_by("commute_pct", "x").alias("last_share"),
-    ).withColumn("_one", F.lit(1))
-    fit = line_fit(rows.withColumn("_one", F.lit(1)), ["_one"], "x", "commute_pct")
+    ]
+    fit = line_fit(rows, [], "x", "commute_pct", ends)
     falling = F.col("slope") < 0
     return (
-        ends.join(fit, "_one")
-        .withColumn("delta", F.col("last_share") - F.col("first_share"))
+        fit.withColumn("delta", F.col("last_share") - F.col("first_share"))
         .withColumn(
             "verdict",
             rule_label(

@@ -63,7 +63,7 @@ def j6(spark, d):
     """Clusters of scaled station features."""
     rows = C.z_scores(cluster_input(spark, d), _CLUSTER_COLUMNS, "_z")
     clustered, _ = C.kmeans(
-        cut_lineage(rows), [f"{c}_z" for c in _CLUSTER_COLUMNS], k=4, restarts=3
+        rows, [f"{c}_z" for c in _CLUSTER_COLUMNS], k=4, restarts=3
     )
     return clustered.select("station_id", "cluster")
 
@@ -147,7 +147,7 @@ RIDGE_SQL = f"""{_YEARLY_MEANS},
 
 def two_features(spark, d):
     rows = yearly_stations(spark, d).na.drop(subset=[*_TWO, "recovery"])
-    return cut_lineage(C.z_scores(rows.select("station_id", *_TWO, "recovery"), _TWO))
+    return C.z_scores(rows.select("station_id", *_TWO, "recovery"), _TWO)
 
 
 def two_feature_ridge(rows):

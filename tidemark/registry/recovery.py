@@ -22,6 +22,7 @@ from tidemark.registry.views import (
     v_hourly,
     week,
 )
+from tidemark.runtime import cut_lineage
 
 _MONTHLY_SHAPE = {
     "year": "long",
@@ -160,8 +161,8 @@ _ORDER = """rr AS (SELECT mode, avg(recovery_rate) AS rate FROM monthly
                     WHEN rail_rate > subway_rate THEN 'WEAK' ELSE 'FAIL' END AS verdict FROM o)"""
 
 
-def _order(spark, d):
-    ranking = E.recent_ranking(monthly(spark, d), RECENT[0])
+def _order(months):
+    ranking = E.recent_ranking(months, RECENT[0])
     return E.order_verdict(ranking, ["1-URGENT", "2-HIGH"], "3-MEDIUM", "4-NOT SPECIFIED")
 
 
@@ -173,7 +174,7 @@ def _order(spark, d):
 )
 def h11(spark, d):
     return shaped(
-        _order(spark, d),
+        _order(monthly(spark, d)),
         {"rail_rate": 8, "subway_rate": 8, "bus_rate": 8, "tiers_ok": None, "verdict": None},
     )
 
@@ -230,10 +231,11 @@ def commute_verdict(spark, d):
     "monthly weekly_ratios",
 )
 def h12(spark, d):
+    months = cut_lineage(monthly(spark, d))  # read by two layers
     return E.overall_verdict(
         {
-            "L1": E.break_verdict(E.break_evidence(monthly(spark, d), CORE_MODES, BREAK)),
+            "L1": E.break_verdict(E.break_evidence(months, CORE_MODES, BREAK)),
             "L2": commute_verdict(spark, d),
-            "L3": _order(spark, d),
+            "L3": _order(months),
         }
     )

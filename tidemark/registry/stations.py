@@ -137,18 +137,15 @@ _YEARLY_MEANS = (
 
 def yearly_stations(spark, d):
     """Station table from the yearly view: variation, mean and recovery 2000 over 1998."""
-    yearly = v_yearly(spark, d)
-    per_station = yearly.groupBy("station_id", "borough").agg(
-        F.try_divide(F.stddev_samp("entries"), F.avg("entries")).alias("entries_cv"),
-        F.avg("entries").alias("avg_daily_entries"),
-    )
-    means = S.yearly_means(yearly, F.col("year"), [1998, 2000])
-    return per_station.join(means, "station_id").select(
-        "station_id",
-        "borough",
-        "entries_cv",
-        "avg_daily_entries",
-        F.try_divide("y2000", "y1998").alias("recovery"),
+    at = lambda y: F.avg(F.when(F.col("year") == y, F.col("entries")))
+    return (
+        v_yearly(spark, d)
+        .groupBy("station_id", "borough")
+        .agg(
+            F.try_divide(F.stddev_samp("entries"), F.avg("entries")).alias("entries_cv"),
+            F.avg("entries").alias("avg_daily_entries"),
+            F.try_divide(at(2000), at(1998)).alias("recovery"),
+        )
     )
 
 
