@@ -112,11 +112,11 @@ def winsor_bounds(
 
 
 def winsorize(df: DataFrame, value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Clip a column to its own quantiles; the bounds are two scalar subqueries."""
-    bounds = winsor_bounds(df, value, low, high)
+    """Clip a column to its own quantiles; the bounds are one scalar subquery."""
+    bounds = winsor_bounds(df, value, low, high).select(F.struct("lower", "upper")).scalar()
     clipped = F.least(
-        F.greatest(F.col(value).cast("double"), bounds.select("lower").scalar()),
-        bounds.select("upper").scalar(),
+        F.greatest(F.col(value).cast("double"), bounds.getField("lower")),
+        bounds.getField("upper"),
     )
     return df.withColumn(value, F.when(F.col(value).isNotNull(), clipped))
 

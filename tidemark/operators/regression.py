@@ -134,7 +134,7 @@ def evaluate(
     With ``scale`` the columns are z-scored by the training rows first.
     """
     rows = scale_by_training(df, columns) if scale else df
-    rows = assemble(rows, columns).persist()
+    rows = cut_lineage(assemble(rows, columns))  # read by every fold
     train, test = rows.where(~F.col("is_test")), rows.where(F.col("is_test"))
     folds_table = cross_validate(train, learner, label, folds)
     model = learner.fit(train)
