@@ -104,6 +104,9 @@ def merge_seeds(
     return merged
 
 
+ENRICHED_SEEDS = merge_seeds(BASE_SEEDS, DESCRIPTION_SEEDS)
+
+
 def merge_seed_tables(
     base: DataFrame, boost: DataFrame, min_length: int = MIN_SEED_LENGTH, blocked: Iterable[str] = SHORT_SEEDS
 ) -> DataFrame:

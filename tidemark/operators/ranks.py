@@ -8,14 +8,21 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.runtime import cut_lineage
+
 _BUCKETS = 256
 
 
 def value_ranks(
-    df: DataFrame, value: str, extra_counts: Mapping[str, Column] | None = None
+    df: DataFrame,
+    value: str,
+    extra_counts: Mapping[str, Column] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Distinct values with their count ``c`` and average rank (1-based).
 
+    A row stands for ``weight`` equal rows when that column is given.
+
     Equal values are counted first. The distinct values are then cut into ordered buckets at
     approximate quantiles, ranked inside each bucket, and shifted by the total of the buckets
     below. Any bucket edges give the same ranks; the edges only balance the work.
@@ -23,7 +30,8 @@ def value_ranks(
     extra = dict(extra_counts or {})
     rows = df.where(F.col(value).isNotNull())
     counts = rows.groupBy(F.col(value).cast("double").alias("v")).agg(
-        F.count("*").alias("c"), *[c.alias(name) for name, c in extra.items()]
+        (F.count("*") if weight is None else F.sum(weight)).alias("c"),
+        *[c.alias(name) for name, c in extra.items()],
     )
     steps = [i / _BUCKETS for i in range(1, _BUCKETS)]
     # A few hundred numbers come to the driver, so that every use of the buckets sees the same edges.
@@ -50,16 +58,17 @@ def value_ranks(
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation of two columns over the rows where both are present.
 
-    Equal pairs are counted before the ranks are joined on. A value shared by many different
-    pairs makes a skewed join key, which adaptive execution splits; the rank side has one row per
-    distinct value.
+    Equal pairs are counted and written first, and the ranks of both columns are made from them. A
+    value shared by many different pairs makes a skewed join key, which adaptive execution splits;
+    the rank side has one row per distinct value.
     """
     rows = df.select(
         F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
     ).na.drop()
-    ranked = rows.groupBy("x", "y").agg(F.count("*").alias("c"))
+    pairs = cut_lineage(rows.groupBy("x", "y").agg(F.count("*").alias("c")))
+    ranked = pairs
     for column in ("x", "y"):
-        ranks = value_ranks(rows, column)
+        ranks = value_ranks(pairs, column, weight="c")
         ranked = ranked.join(
             ranks.select(F.col("v").alias(column), F.col("rank").alias(f"r{column}")), column
         )

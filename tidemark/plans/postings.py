@@ -17,6 +17,7 @@ from tidemark.functions.columns import (
     significance_stars,
     to_double,
 )
+from tidemark.functions.seeds import ENRICHED_SEEDS
 from tidemark.functions.tails import chi2_one_tail, t_tail
 from tidemark.functions.text import (
     category_tag,
@@ -92,7 +93,7 @@ def structured_summary(df: DataFrame) -> DataFrame:
 
 def seed_scores(
     df: DataFrame,
-    seeds: Mapping[str, Iterable[str]],
+    seeds: Mapping[str, Iterable[str]] = ENRICHED_SEEDS,
     text: str = "nlp_text_clean",
     length: str = "text_len",
     min_categories: int = 2,
@@ -127,7 +128,7 @@ def seed_scores(
 
 
 def topic_labels(
-    topic_terms: DataFrame, seeds: Mapping[str, Iterable[str]], top_n: int = 15
+    topic_terms: DataFrame, seeds: Mapping[str, Iterable[str]] = ENRICHED_SEEDS, top_n: int = 15
 ) -> DataFrame:
     """Top words and scores per topic, the seed categories they belong to, and a label.
 
