@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.near_dedup import op8_near_dedup
 from tidemark.llm.substring_dedup import op1_substring_dedup
 from tidemark.llm.suffix_dedup import op7_suffix_dedup
 
@@ -14,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for fn in (
         op1_substring_dedup,
         op7_suffix_dedup,
+        op8_near_dedup,
     )
 }
 
