@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import decontaminate
+from tidemark.llm.decontaminate import op10_benchmark_decontamination
 from tidemark.llm.near_dedup import op8_near_dedup
 from tidemark.llm.substring_dedup import op1_substring_dedup
 from tidemark.llm.suffix_dedup import op7_suffix_dedup
@@ -16,7 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_substring_dedup,
         op7_suffix_dedup,
         op8_near_dedup,
+        op10_benchmark_decontamination,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_benchmark_decontamination": decontaminate.ORACLE}
