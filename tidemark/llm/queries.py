@@ -11,11 +11,13 @@ from tidemark.llm.decontaminate import op10_benchmark_decontamination
 from tidemark.llm.near_dedup import op8_near_dedup
 from tidemark.llm.substring_dedup import op1_substring_dedup
 from tidemark.llm.suffix_dedup import op7_suffix_dedup
+from tidemark.llm.token_counts import op6_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
     for fn in (
         op1_substring_dedup,
+        op6_token_counts,
         op7_suffix_dedup,
         op8_near_dedup,
         op10_benchmark_decontamination,
