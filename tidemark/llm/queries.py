@@ -12,11 +12,13 @@ from tidemark.llm.near_dedup import op8_near_dedup
 from tidemark.llm.substring_dedup import op1_substring_dedup
 from tidemark.llm.suffix_dedup import op7_suffix_dedup
 from tidemark.llm.token_counts import op6_token_counts
+from tidemark.llm.wavelet import op3_wavelet_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
     for fn in (
         op1_substring_dedup,
+        op3_wavelet_shards,
         op6_token_counts,
         op7_suffix_dedup,
         op8_near_dedup,
