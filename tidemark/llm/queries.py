@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import decontaminate
 from tidemark.llm.decontaminate import op10_benchmark_decontamination
 from tidemark.llm.near_dedup import op8_near_dedup
+from tidemark.llm.quality import op2_quality_rules
 from tidemark.llm.sentencepieces import op4_sentencepiece
 from tidemark.llm.substring_dedup import op1_substring_dedup
 from tidemark.llm.suffix_dedup import op7_suffix_dedup
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
     for fn in (
         op1_substring_dedup,
+        op2_quality_rules,
         op3_wavelet_shards,
         op4_sentencepiece,
         op6_token_counts,
