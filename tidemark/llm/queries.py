@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate
 from tidemark.llm.decontaminate import op10_benchmark_decontamination
+from tidemark.llm.html_text import op9_html_extraction
 from tidemark.llm.near_dedup import op8_near_dedup
 from tidemark.llm.quality import op2_quality_rules
 from tidemark.llm.sentencepieces import op4_sentencepiece
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_token_counts,
         op7_suffix_dedup,
         op8_near_dedup,
+        op9_html_extraction,
         op10_benchmark_decontamination,
     )
 }
