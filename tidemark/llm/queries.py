@@ -15,6 +15,7 @@ from tidemark.llm.sentencepieces import op4_sentencepiece
 from tidemark.llm.substring_dedup import op1_substring_dedup
 from tidemark.llm.suffix_dedup import op7_suffix_dedup
 from tidemark.llm.token_counts import op6_token_counts
+from tidemark.llm.toxicity import op5_toxicity
 from tidemark.llm.wavelet import op3_wavelet_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_quality_rules,
         op3_wavelet_shards,
         op4_sentencepiece,
+        op5_toxicity,
         op6_token_counts,
         op7_suffix_dedup,
         op8_near_dedup,
