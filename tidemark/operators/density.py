@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.runtime import broadcast_if_small
+from tidemark.runtime import cut_lineage
 
 
 def density_curves(
@@ -47,7 +47,7 @@ def density_curves(
     z = (F.col("x") - F.col("v")) / F.col("h")
     kernel = F.col("c") * F.exp(-z * z / 2)
     return (
-        counts.join(broadcast_if_small(shape), key)
+        counts.join(cut_lineage(shape), key)
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(grid_size - 1))))
         .withColumn("x", F.col("start") + F.col("i") * F.col("step"))
         .groupBy(key, "i", "x", "n", "h")

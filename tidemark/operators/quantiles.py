@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.runtime import broadcast_if_small
+from tidemark.runtime import cut_lineage
 
 
 def exact_quantiles(
@@ -62,7 +62,7 @@ def exact_quantiles(
         ).alias("_b"),
     )
     if keys:
-        joined = rows.join(broadcast_if_small(brackets), keys)
+        joined = rows.join(cut_lineage(brackets), keys)
     else:
         joined = rows.withColumn("_one", F.lit(1)).join(
             F.broadcast(brackets.withColumn("_one", F.lit(1))), "_one"
@@ -129,7 +129,7 @@ def box_summary(df: DataFrame, key: str, value: str) -> DataFrame:
     near = v.between(F.col("q1") - reach, F.col("q3") + reach)
     return (
         df.na.drop(subset=[key, value])
-        .join(broadcast_if_small(box), key)
+        .join(cut_lineage(box), key)
         .groupBy(key, "n", "q1", "median", "q3")
         .agg(
             F.min(F.when(near, v)).alias("whisker_low"),

@@ -1,14 +1,10 @@
-"""Session defaults and the shared folder used for checkpoints and scratch tables."""
+"""Session defaults and the shared folder used for intermediate tables."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 100_000
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -27,21 +23,16 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder every executor can reach: the session's checkpoint directory.
+    """A folder of this application that every executor can reach.
 
-    A machine-local folder is created only on a local master with no directory configured.
+    It is below ``spark.checkpoint.dir``, or below the warehouse where that is unset, and is removed
+    when the driver's file system closes.
     """
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="tidemark-")
-    context.setCheckpointDir(configured)
-    return context.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root = f"{base.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return root
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -50,17 +41,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from the written copy."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+    """Write ``df`` as Parquet to the shared folder and continue from the written copy.
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Write a table of narrow per-group rows, count it, and mark it for broadcast only when it
-    has at most ``max_rows`` rows; beyond that the join is a shuffle join whose skewed keys
-    adaptive execution splits."""
-    written = cut_lineage(df)
-    return F.broadcast(written) if written.count() <= max_rows else written
+    Readers of the copy prune columns and know its size, so adaptive execution picks the joins.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
