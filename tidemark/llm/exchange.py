@@ -159,3 +159,23 @@ def contains(sorted_keys: np.ndarray, values: np.ndarray) -> np.ndarray:
         return np.zeros(len(values), bool)
     at = np.minimum(np.searchsorted(sorted_keys, values), len(sorted_keys) - 1)
     return sorted_keys[at] == values
+
+
+def identified(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, text and a struct ``rest`` of any other columns: the rows with an id, the same dealt by
+    doc_id, and the rows without one.
+
+    Both joins of a text with results per document start from the second, so that Spark writes one
+    shuffle of the texts and reads it twice.
+    """
+    kinds = dict(docs.dtypes)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    docs = docs.select(
+        *(
+            name if kinds[name] == kind else F.col(name).cast(kind).alias(name)
+            for name, kind in (("doc_id", "bigint"), ("text", "string"))
+        ),
+        *([F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest")] if rest else []),
+    )
+    known = docs.where(F.col("doc_id").isNotNull())
+    return known, known.repartition(F.col("doc_id")), docs.where(F.col("doc_id").isNull())

@@ -26,7 +26,7 @@ from tidemark.llm.arrays import (
     Texts, cover, gram_hash, joined_words, letters, mix, prefix, sliding_min, slices, span_hash, window_owner,
 )
 from tidemark.llm.exchange import (
-    _BLOCK, Batches, blocks, by_shard, contains, dealt, flat_keys, joined, repeated_keys, shard_count,
+    _BLOCK, Batches, blocks, by_shard, contains, dealt, flat_keys, identified, joined, repeated_keys, shard_count,
 )
 
 WIDTH, GRAM, DEPTH, BITS = 50, 8, 2, 40
@@ -66,14 +66,13 @@ def tags(texts: Texts) -> np.ndarray:
 
 
 def covered_windows(
-    docs: DataFrame, width: int = WIDTH, gram: int = GRAM, depth: int = DEPTH, bits: int = BITS
+    docs: DataFrame, dealt_docs: DataFrame, width: int = WIDTH, gram: int = GRAM, depth: int = DEPTH, bits: int = BITS
 ) -> DataFrame:
     """doc_id and ``at``: per document the packed starts of windows that a smaller doc_id has too.
 
-    ``docs`` must have non-null doc_id. Each value of ``at`` is ``text tag << 36 | first word``.
+    ``docs`` and the same rows dealt by doc_id come from ``identified``. Each value of ``at`` is ``text tag << 36 | first word``.
     """
     shards = shard_count(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
 
     def sketched(texts: Texts, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         _, _, _, owner, least = _windows(texts, width, gram)
@@ -134,7 +133,7 @@ def covered_windows(
                 lost = doc > _least(high, low, doc)
                 yield _placed(doc[lost], place[lost])
 
-    marked = docs.join(repeated_keys(docs, sketched), "doc_id").select("doc_id", "text", "keys")
+    marked = dealt_docs.join(repeated_keys(docs, sketched), "doc_id")  # all columns, so that the texts' shuffle is the one read at the end
     return (
         dealt(marked.mapInArrow(suspects, _BLOCK))
         .mapInArrow(resolve, "doc_id bigint, first bigint, n bigint")
@@ -174,12 +173,9 @@ def run_places(runs: list[dict] | None, tag: int) -> np.ndarray:
 
 
 def remove_repeated(docs: DataFrame, width: int = WIDTH, **sizes: int) -> DataFrame:
-    """doc_id, text, kept_text, n_words, n_removed for every row of ``docs`` (doc_id, text).
-
-    ``kept_text`` is the kept words joined by one space.
+    """doc_id, text, kept_text, n_words, n_removed for every row of ``docs`` (doc_id, text), and a
+    struct ``rest`` of its other columns, if any. ``kept_text`` is the kept words joined by one space.
     """
-    schema = "doc_id bigint, text string, kept_text string, n_words bigint, n_removed bigint"
-
     def cut(batches: Batches) -> Batches:
         for batch in batches:
             runs = batch.column("runs")
@@ -198,22 +194,24 @@ def remove_repeated(docs: DataFrame, width: int = WIDTH, **sizes: int) -> DataFr
                 total += counts.tolist()
                 gone += (counts - left).tolist()
                 kept += joined_words(texts, keep)
+            told = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text"), pa.array(kept, pa.binary()).cast(pa.string()),
-                 pa.array(total, pa.int64()), pa.array(gone, pa.int64())],
-                names=["doc_id", "text", "kept_text", "n_words", "n_removed"],
-            )
+                [batch.column(c) for c in names] + told, names=[*names, "kept_text", "n_words", "n_removed"]
+            )
 
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = docs.where(F.col("doc_id").isNotNull())
-    found = known.join(covered_windows(known, width, **sizes), "doc_id", "left")
-    loose = docs.where(F.col("doc_id").isNull()).withColumn("runs", F.lit(None).cast(found.schema["runs"].dataType))
-    return found.select("doc_id", "text", "runs").unionByName(loose).mapInArrow(cut, schema)
+    known, dealt_docs, loose = identified(docs)
+    found = dealt_docs.join(covered_windows(known, dealt_docs, width, **sizes), "doc_id", "left")
+    loose = loose.withColumn("runs", F.lit(None).cast(found.schema["runs"].dataType))
+    names = known.columns
+    shape = known.withColumns(
+        {"kept_text": F.lit(None).cast("string"), "n_words": F.lit(None).cast("bigint"), "n_removed": F.lit(None).cast("bigint")}
+    ).schema
+    return found.select(*names, "runs").unionByName(loose).mapInArrow(cut, shape)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of 50-word windows that a smaller doc_id has too, removed from every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return remove_repeated(docs).select(
+    return remove_repeated(docs.select("doc_id", "text")).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256")
     )
