@@ -146,6 +146,33 @@ def _keyed(doc: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
     )
 
 
+def by_document(places: DataFrame) -> DataFrame:
+    """Blocks of (a: doc_id, b: first, c: size) to one row per document: doc_id, firsts, sizes.
+
+    ``first`` and the places after it are numbers of windows; neighbouring runs are joined.
+    """
+
+    def gather_runs(batches: Batches) -> Batches:
+        for _, rows in by_shard(batches):
+            doc, first, size = (joined(rows, c, np.int64) for c in "abc")
+            order = np.lexsort((first, doc))
+            doc, first, end = doc[order], first[order], (first + size)[order]
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (first[1:] > np.maximum.accumulate(end)[:-1])
+            at = np.flatnonzero(new)
+            end = np.maximum.reduceat(end, at)
+            doc, first = doc[at], first[at]
+            heads = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+            offsets = pa.array(np.append(heads, len(doc)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc[heads])]
+                + [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (first, end - first)],
+                names=["doc_id", "firsts", "sizes"],
+            )
+
+    return dealt(places).mapInArrow(gather_runs, "doc_id bigint, firsts array<bigint>, sizes array<bigint>")
+
+
 def flat_keys(column: pa.Array) -> np.ndarray:
     """All values of a list<int64> column, as sorted distinct uint64."""
     if isinstance(column, pa.ChunkedArray):

@@ -26,7 +26,7 @@ from tidemark.llm.arrays import (
     Texts, cover, gram_hash, joined_words, letters, mix, prefix, sliding_min, slices, span_hash, window_owner,
 )
 from tidemark.llm.exchange import (
-    _BLOCK, Batches, blocks, by_shard, contains, dealt, flat_keys, identified, joined, repeated_keys, shard_count,
+    _BLOCK, Batches, blocks, by_document, by_shard, contains, dealt, flat_keys, identified, joined, repeated_keys, shard_count,
 )
 
 WIDTH, GRAM, DEPTH, BITS = 50, 8, 2, 40
@@ -68,9 +68,10 @@ def tags(texts: Texts) -> np.ndarray:
 def covered_windows(
     docs: DataFrame, dealt_docs: DataFrame, width: int = WIDTH, gram: int = GRAM, depth: int = DEPTH, bits: int = BITS
 ) -> DataFrame:
-    """doc_id and ``at``: per document the packed starts of windows that a smaller doc_id has too.
+    """doc_id, firsts, sizes: per document the runs of windows that a smaller doc_id has too.
 
-    ``docs`` and the same rows dealt by doc_id come from ``identified``. Each value of ``at`` is ``text tag << 36 | first word``.
+    ``docs`` and the same rows dealt by doc_id come from ``identified``. A window's place is
+    ``text tag << 36 | first word``.
     """
     shards = shard_count(docs.sparkSession)
 
@@ -121,25 +122,22 @@ def covered_windows(
         yield from blocks((high % np.uint64(shards)).astype(np.int32), 0, high, low, doc, place)
 
     def resolve(batches: Batches) -> Batches:
+        lost_doc, lost_place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for _, rows in by_shard(batches):
             known, rest = [r for r in rows if r["flag"]], [r for r in rows if not r["flag"]]
-            if known:
-                yield _placed(joined(known, "a", np.int64), joined(known, "b", np.int64))
-            if rest:
-                high, low = joined(rest, "a", np.uint64), joined(rest, "b", np.uint32)
-                doc, place = joined(rest, "c", np.int64), joined(rest, "d", np.int64)
-                order = np.lexsort((doc, low, high))
-                high, low, doc, place = high[order], low[order], doc[order], place[order]
-                lost = doc > _least(high, low, doc)
-                yield _placed(doc[lost], place[lost])
+            lost_doc.append(joined(known, "a", np.int64))
+            lost_place.append(joined(known, "b", np.int64))
+            high, low = joined(rest, "a", np.uint64), joined(rest, "b", np.uint32)
+            doc, place = joined(rest, "c", np.int64), joined(rest, "d", np.int64)
+            order = np.lexsort((doc, low, high))
+            high, low, doc, place = high[order], low[order], doc[order], place[order]
+            lost = doc > _least(high, low, doc)
+            lost_doc.append(doc[lost])
+            lost_place.append(place[lost])
+        yield from place_blocks(*places_to_runs(np.concatenate(lost_doc), np.concatenate(lost_place)), shards)
 
     marked = dealt_docs.join(repeated_keys(docs, sketched), "doc_id")  # all columns, so that the texts' shuffle is the one read at the end
-    return (
-        dealt(marked.mapInArrow(suspects, _BLOCK))
-        .mapInArrow(resolve, "doc_id bigint, first bigint, n bigint")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("first", "n")).alias("runs"))
-    )
+    return by_document(dealt(marked.mapInArrow(suspects, _BLOCK)).mapInArrow(resolve, _BLOCK))
 
 
 def _least(high: np.ndarray, low: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -150,26 +148,27 @@ def _least(high: np.ndarray, low: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return doc[np.flatnonzero(new)][np.cumsum(new) - 1]
 
 
-def _placed(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """Runs of neighbouring places as (doc_id, first, n)."""
+def places_to_runs(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first place and size of the runs of neighbouring places."""
     order = np.lexsort((place, doc))
     doc, place = doc[order], place[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + 1)
     at = np.flatnonzero(new)
-    first, last = place[at], place[np.append(at, len(doc))[1:] - 1]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc[at], pa.int64()), pa.array(first, pa.int64()), pa.array(last - first + 1, pa.int64())],
-        names=["doc_id", "first", "n"],
-    )
+    return doc[at], place[at], place[np.append(at, len(doc))[1:] - 1] - place[at] + 1
+
+
+def place_blocks(doc: np.ndarray, first: np.ndarray, size: np.ndarray, shards: int) -> Batches:
+    """Runs dealt by document: a task states each of few shards once."""
+    yield from blocks((doc % max(1, shards // 4)).astype(np.int32), 0, doc, first, size)
 
 
-def run_places(runs: list[dict] | None, tag: int) -> np.ndarray:
-    """Starts in the text with this tag, from collected runs."""
-    out = [
-        np.arange(r["n"]) + (r["first"] & ((1 << 36) - 1)) for r in runs or () if r["first"] >> 36 == tag
-    ]
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+def run_places(firsts: pa.Scalar, sizes: pa.Scalar, tag: int) -> np.ndarray:
+    """Starts in the text with this tag, from a document's runs."""
+    first, size = np.asarray(firsts.values), np.asarray(sizes.values)
+    own = first >> 36 == tag
+    first, size = first[own] & ((1 << 36) - 1), size[own]
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 def remove_repeated(docs: DataFrame, width: int = WIDTH, **sizes: int) -> DataFrame:
@@ -178,16 +177,16 @@ def remove_repeated(docs: DataFrame, width: int = WIDTH, **sizes: int) -> DataFr
     """
     def cut(batches: Batches) -> Batches:
         for batch in batches:
-            runs = batch.column("runs")
+            firsts, sizes = batch.column("firsts"), batch.column("sizes")
             kept, total, gone = [], [], []
             for texts in slices(batch.column("text")):
                 first = texts.words()[2]
                 keep = np.ones(first[-1], bool)
                 for i in range(len(texts)):
-                    row = runs[texts.first + i]
+                    row = firsts[texts.first + i]
                     if row.is_valid:
                         lo, hi = int(first[i]), int(first[i + 1])
-                        at = run_places(row.as_py(), _text_tag(texts, i))
+                        at = run_places(row, sizes[texts.first + i], _text_tag(texts, i))
                         keep[lo:hi] = ~cover(at, width, hi - lo)
                 counts = np.diff(first)
                 left = np.diff(np.concatenate(([0], np.cumsum(keep)))[first])
@@ -201,12 +200,12 @@ def remove_repeated(docs: DataFrame, width: int = WIDTH, **sizes: int) -> DataFr
 
     known, dealt_docs, loose = identified(docs)
     found = dealt_docs.join(covered_windows(known, dealt_docs, width, **sizes), "doc_id", "left")
-    loose = loose.withColumn("runs", F.lit(None).cast(found.schema["runs"].dataType))
+    loose = loose.withColumns({c: F.lit(None).cast("array<bigint>") for c in ("firsts", "sizes")})
     names = known.columns
     shape = known.withColumns(
         {"kept_text": F.lit(None).cast("string"), "n_words": F.lit(None).cast("bigint"), "n_removed": F.lit(None).cast("bigint")}
     ).schema
-    return found.select(*names, "runs").unionByName(loose).mapInArrow(cut, shape)
+    return found.select(*names, "firsts", "sizes").unionByName(loose).mapInArrow(cut, shape)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
