@@ -24,7 +24,7 @@ from tidemark.llm.exchange import Batches
 from tidemark.llm.pretokens import Points, with_specials
 from tidemark.runtime import cut_lineage
 
-COMMON, LIMIT = 1 << 20, 512
+COMMON, LIMIT = 1 << 18, 512
 
 
 def vocabulary_path(name: str) -> str:
@@ -80,7 +80,7 @@ def count_tokens(docs: DataFrame, path: str, common: int = COMMON) -> DataFrame:
         count = np.zeros(0, np.int64)
         words = np.zeros(0, object)
         for batch in batches:
-            for texts in slices(batch.column("text"), 4 << 20):
+            for texts in slices(batch.column("text")):
                 points = Points.of(texts)
                 starts, ends, a, b, _ = _distinct(points, with_specials(texts, specials))
                 one, first, times = np.unique(a, return_index=True, return_counts=True)
