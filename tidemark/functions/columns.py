@@ -28,7 +28,9 @@ def parse_wall_clock(c: Column | str, pattern: str) -> Column:
 
 
 def to_int(c: Column | str) -> Column:
-    return to_column(c).try_cast("int")
+    """Tolerant whole number: text with a fraction is rounded, null outside the range of an int."""
+    value = F.round(to_double(c))
+    return F.when(value.between(-(2**31), 2**31 - 1), value).cast("int")
 
 
 def to_double(c: Column | str) -> Column:

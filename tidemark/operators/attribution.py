@@ -57,7 +57,8 @@ def permutation_attribution(
     """Sampled values of any model with ``transform``: the average change of the prediction when a
     feature switches from a background row to the explained row along random feature orders.
 
-    Every order is used with its reverse and with every background row, so for each row the
+    Every order is used with its reverse and with every row of ``reference`` (bound it with
+    :func:`background`), so for each row the
     values add up to its prediction minus the mean background prediction. A row becomes
     ``background x orders x (features + 1)`` scored rows inside its own task; only per-feature sums
     are shuffled.
@@ -71,7 +72,7 @@ def permutation_attribution(
     rank_lists = [np.argsort(order).tolist() for order in orders]
     ranks = F.array(*[F.array(*[F.lit(int(r)) for r in row]) for row in rank_lists])
     pool = (
-        reference.limit(BACKGROUND_ROWS)
+        reference
         .agg(F.collect_list(F.array(*[F.col(c).cast("double") for c in columns])).alias("b"))
         .scalar()
     )

@@ -100,20 +100,24 @@ def exact_quantiles(
     return picked.groupBy(*keys).agg(F.max("n").alias("n"), *wide)
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    return exact_quantiles(df, keys, value, [0.5], [name])
+def exact_median(
+    df: DataFrame, keys: Sequence[str], value: str, name: str, accuracy: int = 20_000
+) -> DataFrame:
+    return exact_quantiles(df, keys, value, [0.5], [name], accuracy)
 
 
 def winsor_bounds(
-    df: DataFrame, value: str, low: float = 0.01, high: float = 0.99
+    df: DataFrame, value: str, low: float = 0.01, high: float = 0.99, accuracy: int = 20_000
 ) -> DataFrame:
     """One row with the lower and upper clipping bound."""
-    return exact_quantiles(df, [], value, [low, high], ["lower", "upper"])
+    return exact_quantiles(df, [], value, [low, high], ["lower", "upper"], accuracy)
 
 
-def winsorize(df: DataFrame, value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
+def winsorize(
+    df: DataFrame, value: str, low: float = 0.01, high: float = 0.99, accuracy: int = 20_000
+) -> DataFrame:
     """Clip a column to its own quantiles; the bounds are one scalar subquery."""
-    bounds = winsor_bounds(df, value, low, high).select(F.struct("lower", "upper")).scalar()
+    bounds = winsor_bounds(df, value, low, high, accuracy).select(F.struct("lower", "upper")).scalar()
     clipped = F.least(
         F.greatest(F.col(value).cast("double"), bounds.getField("lower")),
         bounds.getField("upper"),
@@ -121,9 +125,9 @@ def winsorize(df: DataFrame, value: str, low: float = 0.01, high: float = 0.99)
     return df.withColumn(value, F.when(F.col(value).isNotNull(), clipped))
 
 
-def box_summary(df: DataFrame, key: str, value: str) -> DataFrame:
+def box_summary(df: DataFrame, key: str, value: str, accuracy: int = 20_000) -> DataFrame:
     """Quartiles, and whiskers at the outermost values within 1.5 IQR."""
-    box = exact_quantiles(df, [key], value, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    box = exact_quantiles(df, [key], value, [0.25, 0.5, 0.75], ["q1", "median", "q3"], accuracy)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     v = F.col(value).cast("double")
     near = v.between(F.col("q1") - reach, F.col("q3") + reach)

@@ -106,13 +106,18 @@ def at_least(df: DataFrame, count: Column | str, minimum: int) -> DataFrame:
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """One row per key: the one with the smallest unique ``order`` value; null keys are equal.
+    """One row per key: one with the smallest ``order`` value (null if the key has no other); null
+    keys are equal, and of rows that tie any one is kept.
 
     The minimum is a partial aggregation over the key columns only, and the wide rows move once in
-    the semi-join on ``order``, so a key that owns a third of all rows stays spread out.
+    the semi-join, so a key that owns a third of all rows stays spread out; only rows that tie for
+    the first place are compared again.
     """
-    firsts = df.groupBy(*keys).agg(F.min(order).alias(order)).select(order)
-    return df.join(firsts, order, "left_semi")
+    firsts = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min(order).alias("_first"))
+    same = F.col(order).eqNullSafe(F.col("_first"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return df.join(firsts, same, "left_semi").dropDuplicates(list(keys))
 
 
 def profile_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -143,8 +148,7 @@ def profile_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def extremes_by(df: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:
     """Smallest and largest value with their position; a tie takes the earliest position."""
     low = F.min(F.struct(F.col(value), F.col(order)))
-    position = F.unix_date(F.to_date(F.col(order)))
-    high = F.max(F.struct(F.col(value), (-position).alias("p"), F.col(order).alias("o")))
+    high = F.min(F.struct((-F.col(value)).alias("minus"), F.col(order).alias("o"), F.col(value).alias("v")))
     return (
         without_null_keys(df, [*keys, value])
         .groupBy(*keys)
@@ -153,7 +157,7 @@ def extremes_by(df: DataFrame, keys: Sequence[str], value: str, order: str) -> D
             *keys,
             F.col(f"low.{value}").alias("min_value"),
             F.col(f"low.{order}").alias("min_at"),
-            F.col(f"high.{value}").alias("max_value"),
+            F.col("high.v").alias("max_value"),
             F.col("high.o").alias("max_at"),
         )
     )

@@ -24,7 +24,7 @@ from tidemark.operators.rollup import without_null_keys
 MORNING_HOURS = (7, 8, 9)
 EVENING_HOURS = (17, 18, 19)
 STATION = ("station_id", "station_name", "borough")
-TIMESTAMP_FORMAT = "MM/dd/yyyy hh:mm:ss a"
+TIMESTAMP_FORMAT = "M/d/yyyy h:m:s a"  # one or two digits each
 NUMERIC_FEATURES = (
     "commute_ratio",
     "entries_cv",

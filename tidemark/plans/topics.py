@@ -20,20 +20,15 @@ def run_topic_model(
     stop_words: Sequence[str] | None = None,
     min_documents: int = tfidf.MIN_DOCUMENTS,
     max_share: float = tfidf.MAX_SHARE,
-    fit_share: float | None = None,
     seed: int = 42,
 ) -> tuple[DataFrame, nmf.TopicModel]:
     """Document topics ``(key, weights)`` of every document, and the model.
 
-    Vocabulary and topics are fitted on all documents, or on a stable hashed share of them when
-    ``fit_share`` is given; all documents are transformed either way. Term counts and the sparse
-    rows are written once, since every iteration reads them.
+    Vocabulary and topics are fitted on all documents. Term counts and the sparse rows are written once, since every iteration reads them.
     """
     terms = cut_lineage(tfidf.document_terms(df, key, clean, stop_words))
-    fitted_terms = terms if fit_share is None else tfidf.fit_sample(terms, key, fit_share, seed)
-    vocab = cut_lineage(tfidf.vocabulary(fitted_terms, max_features, min_documents, max_share))
+    vocab = cut_lineage(tfidf.vocabulary(terms, max_features, min_documents, max_share))
     names = sorted(r["term"] for r in vocab.select("term").collect())  # at most max_features
     docs = cut_lineage(nmf.sparse_rows(tfidf.term_weights(terms, key, vocab), key, names))
-    fit_docs = docs if fit_share is None else tfidf.fit_sample(docs, key, fit_share, seed)
-    model = nmf.fit_topics(fit_docs, names, topics, max_iter, seed=seed)
+    model = nmf.fit_topics(docs, names, topics, max_iter, seed=seed)
     return nmf.document_topics(docs, key, model), model

@@ -184,8 +184,8 @@ def c11(spark, d):
 )
 def c12(spark, d):
     orders = table(spark, d, "orders").withColumnRenamed("o_orderpriority", "mode")
-    grouped = Q.exact_median(orders, ["mode"], "o_totalprice", "median")
-    overall = Q.exact_median(orders, [], "o_totalprice", "median").withColumn("mode", F.lit("all"))
+    grouped = Q.exact_median(orders, ["mode"], "o_totalprice", "median", accuracy=500)
+    overall = Q.exact_median(orders, [], "o_totalprice", "median", accuracy=500).withColumn("mode", F.lit("all"))
     both = grouped.unionByName(overall)
     return shaped(both, {"mode": None, "n": None, "median": 4})
 
@@ -204,6 +204,7 @@ def c13(spark, d):
         "l_extendedprice",
         [0.25, 0.5, 0.75],
         ["q25", "q50", "q75"],
+        accuracy=500,
     )
     keys = {"l_returnflag": None, "l_linestatus": None, "n": None}
     return shaped(out, {**keys, "q25": 4, "q50": 4, "q75": 4})
@@ -217,7 +218,7 @@ def c13(spark, d):
 )
 def c14(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    return shaped(Q.winsorize(orders, "o_totalprice"), {"o_orderkey": None, "o_totalprice": 4})
+    return shaped(Q.winsorize(orders, "o_totalprice", accuracy=500), {"o_orderkey": None, "o_totalprice": 4})
 
 
 @query(

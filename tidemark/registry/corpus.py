@@ -177,14 +177,14 @@ TERM_SQL = f"""tok AS (SELECT job_id, location, list_filter(
        nd AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM prepared),
        voc AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY 1
          HAVING count(*) >= 5 AND count(*) <= 0.7 * (SELECT n FROM nd)
-         ORDER BY sum(tf) DESC, term LIMIT 500),
+         ORDER BY sum(tf) DESC, term LIMIT 5000),
        raw AS (SELECT job_id, tf.term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS raw
          FROM tf JOIN voc ON tf.term = voc.term, nd),
        wts AS (SELECT job_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY job_id)) AS w
          FROM raw)"""
 
 
-def weights(spark, d, features: int = 500):
+def weights(spark, d, features: int = 5000):
     return W.fit_transform(prepared(spark, d), "job_id", "nlp_text_clean", _STOP_LIST, features)
 
 
@@ -205,7 +205,7 @@ def j1(spark, d):
 )
 def j1_vocabulary(spark, d):
     terms = W.document_terms(prepared(spark, d), "job_id", "nlp_text_clean", _STOP_LIST)
-    return shaped(W.vocabulary(terms, 500), {"term": None, "df": None, "cf": None, "idf": 8})
+    return shaped(W.vocabulary(terms, 5000), {"term": None, "df": None, "cf": None, "idf": 8})
 
 
 @query("j2_fit_sample")
@@ -219,9 +219,9 @@ def _topic_model(spark, d):
         prepared(spark, d),
         "job_id",
         "nlp_text_clean",
-        topics=6,
-        max_features=300,
-        max_iter=12,
+        topics=20,
+        max_features=5000,
+        max_iter=400,
         stop_words=_STOP_LIST,
     )
 

@@ -98,7 +98,7 @@ def j7(spark, d):
 
 def split_features(spark, d, include_changes: bool = True):
     matrix, columns = yearly_features(spark, d, include_changes)
-    return cut_lineage(G.with_split(matrix, "station_id", folds=3)), columns
+    return cut_lineage(G.with_split(matrix, "station_id", folds=5)), columns
 
 
 @query("j8_seeded_split")
@@ -111,21 +111,21 @@ def j8(spark, d):
 def j10(spark, d):
     rows, columns = split_features(spark, d)
     learner = G.boosted_trees("recovery", trees=10)
-    return G.evaluate(rows, "boosted trees", learner, "recovery", columns, folds=3)[0]
+    return G.evaluate(rows, "boosted trees", learner, "recovery", columns, folds=5)[0]
 
 
 @query("j11_random_forest")
 def j11(spark, d):
     rows, columns = split_features(spark, d)
-    learner = G.random_forest("recovery", trees=30)
-    return G.evaluate(rows, "random forest", learner, "recovery", columns, folds=3)[0]
+    learner = G.random_forest("recovery", trees=200)
+    return G.evaluate(rows, "random forest", learner, "recovery", columns, folds=5)[0]
 
 
 @query("j12_ridge")
 def j12(spark, d):
     rows, columns = split_features(spark, d)
     learner = G.Ridge("recovery")
-    return G.evaluate(rows, "ridge", learner, "recovery", columns, folds=3, scale=True)[0]
+    return G.evaluate(rows, "ridge", learner, "recovery", columns, folds=5, scale=True)[0]
 
 
 _TWO = ["entries_cv", "avg_daily_entries"]
@@ -265,7 +265,7 @@ def j17(spark, d):
 
 @query("j18_arima_forecast")
 def j18(spark, d):
-    return T.forecast_arima(_train(spark, d, 14), "station_id", "date", "value", 14)
+    return T.forecast_arima(_train(spark, d, 60), "station_id", "date", "value", 60)
 
 
 @query("j19_forecast_backtest")

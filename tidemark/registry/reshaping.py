@@ -218,8 +218,7 @@ _PAIRS = """SELECT least(a.item, b.item) AS skill_a, greatest(a.item, b.item) AS
 @query("d12_item_pairs", _PAIRS.format(where=""), "skills_items")
 def d12(spark, d):
     skills = prepare_skills(v_skills(spark, d), "skills", None)
-    # Only a few dozen names exist, so every one is among the top 1000 and all pairs are kept.
-    return K.item_pairs(skills, "skills_list", top_n=1000, max_pairs=1_000_000)
+    return K.item_pairs(skills, "skills_list", top_n=None, max_pairs=None)
 
 
 @query(
@@ -372,5 +371,5 @@ def e9(spark, d):
     "v_yearly",
 )
 def e10(spark, d):
-    medians = exact_median(v_yearly(spark, d), ["borough"], "entries", "median")
+    medians = exact_median(v_yearly(spark, d), ["borough"], "entries", "median", accuracy=500)
     return shaped(medians, {"borough": None, "median": 6}).orderBy("median", "borough")

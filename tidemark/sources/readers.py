@@ -20,7 +20,7 @@ def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType) -> Data
 def read_daily_csv(spark: SparkSession, path: str) -> DataFrame:
     raw = read_typed_csv(spark, path, schemas.DAILY_CSV)
     return raw.select(
-        F.to_date("Date").alias("date"),
+        F.col("Date").try_cast("date").alias("date"),
         F.col("Mode").alias("mode"),
         F.col("Count").alias("value"),
     )
