@@ -13,7 +13,8 @@ largest component stay in one block, the others visit all. Pairs are formed insi
 survivors of the pruning become rows.
 
 With 32 bands of 4 a pair at the threshold 0.75 is missed by all bands with probability 5e-6; ``miss``
-adds at most 4e-5. Defined results: null and empty texts have no shingles and are linked with
+adds at most 1e-6 for each of the 32 batches. Documents in a shared bucket get ``extra`` positions more
+than the bands need, so that few pairs below the threshold reach the exact test. Defined results: null and empty texts have no shingles and are linked with
 nothing; fewer words than a shingle form one shingle; a row without doc_id has component null and is
 kept; rows sharing a doc_id are judged each by its own text (where several of them represent a class,
 they are one node); extra columns are ignored; an empty table gives none.
@@ -35,7 +36,7 @@ from tidemark.llm.graph import components
 from tidemark.runtime import cut_lineage
 
 WORDS, THRESHOLD, BANDS, ROWS, BATCH = 5, 0.75, 32, 4, 32
-MISS, BLOCK, BEST = 1e-5, 512, 3
+MISS, EXTRA, BLOCK, BEST = 1e-6, 896, 512, 3
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32  # A-Z
 
@@ -57,17 +58,22 @@ def shingles(texts: Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[new], np.searchsorted(owner[new], np.arange(len(texts) + 1))
 
 
-def signatures(sets: np.ndarray, bounds: np.ndarray, size: int) -> np.ndarray:
-    """``size`` minima per non-empty set."""
-    seeds = mix(np.arange(1, 2 * size + 1, dtype=np.uint64))
+def signatures(sets: np.ndarray, bounds: np.ndarray, size: int, first: int = 0) -> np.ndarray:
+    """``size`` minima per non-empty set, beginning with hash function ``first``."""
+    seeds = mix(np.arange(1, 2 * (first + size) + 1, dtype=np.uint64))[2 * first :]
     at = bounds[:-1][np.diff(bounds) > 0]
     out = np.empty((len(at), size), np.uint64)
     if len(at):
         for k in range(size):
-            out[:, k] = np.minimum.reduceat((sets ^ seeds[k]) * (seeds[size + k] | np.uint64(1)), at)
+            out[:, k] = np.minimum.reduceat((sets ^ seeds[2 * k]) * (seeds[2 * k + 1] | np.uint64(1)), at)
     return out
 
 
+def short(minima: np.ndarray) -> np.ndarray:
+    """Eight bits of every minimum; unequal minima agree once in 256, which prunes only less."""
+    return (mix(minima) & np.uint64(255)).astype(np.uint8)
+
+
 def least_matches(threshold: float, batch: int, size: int, miss: float) -> list[int]:
     """For each number of compared positions the least agreement that is not pruned."""
     out = []
@@ -116,6 +122,7 @@ def near_duplicates(
     bands: int = BANDS,
     rows: int = ROWS,
     miss: float = MISS,
+    extra: int = EXTRA,
     block: int = BLOCK,
     best: int = BEST,
 ) -> DataFrame:
@@ -141,11 +148,11 @@ def near_duplicates(
                     both[full, 1] = np.add.reduceat(mix(sets ^ np.uint64(0x5851F42D4C957F2D)), at)
                 prints.append(both)
                 mins = signatures(sets, bounds, size)
-                short = (mix(mins) & np.uint64(255)).astype(np.uint8)
+                brief = short(mins)
                 parts = mix(mins.reshape(-1, rows) * mix(np.arange(1, rows + 1, dtype=np.uint64)))
                 key = mix(np.add.reduce(parts, axis=1).reshape(-1, bands) + np.arange(1, bands + 1, dtype=np.uint64))
                 pick = np.cumsum(full) - 1
-                sigs += [short[p].tobytes() if f else None for p, f in zip(pick, full)]
+                sigs += [brief[p].tobytes() if f else None for p, f in zip(pick, full)]
                 keys += [key[p].view(np.int64) if f else None for p, f in zip(pick, full)]
             prints = np.concatenate(prints).view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -157,15 +164,19 @@ def near_duplicates(
 
     def full_sets(batches: Batches) -> Batches:
         for batch in batches:
-            parts, lengths = [], []
+            parts, lengths, sigs = [], [], []
             for texts in slices(batch.column("text")):
                 sets, bounds = shingles(texts, words)
                 parts.append(sets.view(np.int64))
                 lengths.append(np.diff(bounds))
+                brief, full = short(signatures(sets, bounds, extra, size)), lengths[-1] > 0
+                sigs += [brief[p].tobytes() if f else bytes(extra) for p, f in zip(np.cumsum(full) - 1, full)]
             if parts:
                 offsets = np.concatenate(([0], np.cumsum(np.concatenate(lengths)))).astype(np.int32)
                 arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), arrays], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id"), arrays, pa.array(sigs, pa.binary())], names=["id", "shingles", "more"]
+                )
 
     # signatures, and one representative per class of equal sets
     signed = cut_lineage(
@@ -185,14 +196,14 @@ def near_duplicates(
     involved = shared.select("id").distinct()
     signs = cut_lineage(classes.join(involved, "id", "left_semi").select("id", "n", "sig", "bands"))
     chosen = docs.join(involved, docs["doc_id"] == involved["id"]).select("id", "text")
-    sets = cut_lineage(chosen.mapInArrow(full_sets, "id bigint, shingles array<bigint>"))
+    sets = cut_lineage(chosen.mapInArrow(full_sets, "id bigint, shingles array<bigint>, more binary"))
 
-    limits = least_matches(threshold, BATCH, size, miss)
+    limits = least_matches(threshold, BATCH, size + extra, miss)
 
     def agree(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows not pruned, and how many positions of each agree."""
         left, total = np.arange(len(a)), np.zeros(len(a), np.int64)
-        for step, limit in enumerate(limits):
+        for step, limit in enumerate(limits[: a.shape[1] // BATCH]):
             part = slice(step * BATCH, (step + 1) * BATCH)
             total[left] += (a[left, part] == b[left, part]).sum(axis=1)
             left = left[total[left] >= limit]
@@ -208,7 +219,7 @@ def near_duplicates(
     def compare(top: int | None) -> Callable[[Batches], Batches]:
         def inside(batches: Batches) -> Batches:
             for table in whole_groups(batches, ["bh", "block"]):
-                yield _compare_groups(table, agree, size, bands, top)
+                yield _compare_groups(table, agree, size + extra, bands, top)
 
         return inside
 
@@ -254,7 +265,8 @@ def near_duplicates(
             )
             .withColumn("home", F.col("home") == F.col("block"))
             .join(signs.select("id", "sig", "bands"), "id")
-            .select("bh", "block", "band", "id", "comp", "query", "home", "sig", "bands")
+            .join(sets.select("id", "more"), "id")
+            .select("bh", "block", "band", "id", "comp", "query", "home", F.concat("sig", "more").alias("sig"), "bands")
             .repartition("bh", "block")
             .sortWithinPartitions("bh", "block")
         )
