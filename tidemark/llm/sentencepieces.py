@@ -30,7 +30,7 @@ from tidemark.llm.exchange import Batches
 from tidemark.llm.pretokens import Points
 from tidemark.llm.token_counts import vocabulary_path
 
-BLANK, CACHE_WORDS, CELLS = 0x2581, 1 << 20, 1 << 20
+BLANK, CACHE_WORDS, CELLS, CHUNK_IDS = 0x2581, 1 << 19, 1 << 16, 1 << 18
 _SEED = 3
 
 
@@ -55,6 +55,8 @@ class PieceModel:
             raise ValueError("two pieces share a hash")
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array(plain, np.int32)[order]
+        self.heads = np.zeros(1 << 20, bool)
+        self.heads[self.hashes >> np.uint64(44)] = True
         self.scores = np.array([model.get_score(i) for i in plain])[order]
         self.unknown = self.scores.min() - 10.0
         self.known = np.zeros(0x110000, bool)
@@ -70,6 +72,15 @@ class PieceModel:
         self.said_size = np.fromiter(map(len, said), np.int64, n)
         self.said_at = np.cumsum(self.said_size) - self.said_size
 
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Place of the piece with each hash, or -1; a table of hash heads spares most searches."""
+        out = np.full(h.shape, -1)
+        likely = np.nonzero(self.heads[h >> np.uint64(44)])
+        some = h[likely]
+        at = np.minimum(np.searchsorted(self.hashes, some), len(self.hashes) - 1)
+        out[likely] = np.where(self.hashes[at] == some, at, -1)
+        return out
+
     def search(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best pieces of words of one length (one word per row of code points): ids end to end, and
         how many each word has."""
@@ -81,8 +92,7 @@ class PieceModel:
         piece = []  # by length: for every start, the place of the piece or -1
         for length in range(1, reach + 1):
             h = mix((sums[:, length:] - sums[:, : size - length + 1]) * shift[: size - length + 1])
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            piece.append(np.where(self.hashes[at] == h, at, -1))
+            piece.append(self._find(h))
         gain = [np.where(p >= 0, self.scores[p], -np.inf) for p in piece]
         gain[0] = np.where(piece[0] >= 0, gain[0], self.unknown)
         best = np.zeros((m, size + 1))
@@ -218,21 +228,28 @@ def _offsets(counts: np.ndarray) -> pa.Array:
     return pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
 
 
-def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: str = "piece_ids") -> DataFrame:
-    """``docs`` with a column of piece ids after its others."""
+def encode_texts(
+    docs: DataFrame, path: str, text: str = "text", ids: str = "piece_ids", check: str | None = None
+) -> DataFrame:
+    """``docs`` with a column of piece ids after its others, and with ``check`` a column that tells
+    whether the ids decode to the text again (with U+2581 as a space)."""
 
     def encode(batches: Batches) -> Batches:
         for batch in batches:
-            parts, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
             for texts in slices(batch.column(text)):
                 own, number = encoder(path)(Points.of(texts))
-                parts.append(own)
-                counts.append(number)
-            lists = pa.ListArray.from_arrays(_offsets(np.concatenate(counts)), pa.array(np.concatenate(parts)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, ids])
+                lists = pa.ListArray.from_arrays(_offsets(number), pa.array(own))
+                columns = [*batch.slice(texts.first, len(texts)).columns, lists]
+                if check:
+                    said = encoder(path).model.decode(own, number)
+                    data = texts.data.tobytes()
+                    own_text = [data[a:b].replace(b"\xe2\x96\x81", b" ") for a, b in zip(texts.bounds, texts.bounds[1:])]
+                    columns.append(pa.array([x == y for x, y in zip(said, own_text)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, ids, *([check] if check else [])])
 
-    kept = docs.drop(ids).withColumn(text, F.col(text).cast("string"))
-    return kept.mapInArrow(encode, kept.withColumn(ids, F.lit(None).cast("array<int>")).schema)
+    kept = docs.drop(ids, *([check] if check else [])).withColumn(text, F.col(text).cast("string"))
+    added = {ids: F.lit(None).cast("array<int>")} | ({check: F.lit(None).cast("boolean")} if check else {})
+    return kept.mapInArrow(encode, kept.withColumns(added).schema)
 
 
 def decode_ids(docs: DataFrame, path: str, ids: str = "piece_ids", text: str = "decoded") -> DataFrame:
@@ -240,11 +257,17 @@ def decode_ids(docs: DataFrame, path: str, ids: str = "piece_ids", text: str = "
 
     def decode(batches: Batches) -> Batches:
         for batch in batches:
-            column = batch.column(ids)
-            counts = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
-            said = encoder(path).model.decode(np.asarray(column.flatten()), counts)
-            strings = pa.array([s.decode(errors="replace") for s in said], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, strings], names=[*batch.schema.names, text])
+            ends = np.cumsum(np.asarray(batch.column(ids).value_lengths().fill_null(0)).astype(np.int64))
+            lo = 0
+            while lo < batch.num_rows:
+                limit = (ends[lo - 1] if lo else 0) + CHUNK_IDS
+                hi = max(lo + 1, int(np.searchsorted(ends, limit, side="right")))
+                part = batch.slice(lo, hi - lo)
+                column, lo = part.column(ids), hi
+                counts = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
+                said = encoder(path).model.decode(np.asarray(column.flatten()), counts)
+                strings = pa.array([s.decode(errors="replace") for s in said], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, strings], names=[*batch.schema.names, text])
 
     kept = docs.drop(text)
     return kept.mapInArrow(decode, kept.withColumn(text, F.lit(None).cast("string")).schema)
@@ -254,8 +277,5 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and whether they decode to its text again."""
     path = vocabulary_path("piece_bpe_32k.model")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    back = decode_ids(encode_texts(docs, path), path)
-    plain = F.translate(F.coalesce("text", F.lit("")), "▁", " ")
-    return back.select(
-        "doc_id", "piece_ids", F.size("piece_ids").cast("bigint").alias("n_pieces"), (F.col("decoded") == plain).alias("round_trip")
-    )
+    encoded = encode_texts(docs, path, check="round_trip")
+    return encoded.select("doc_id", "piece_ids", F.size("piece_ids").cast("bigint").alias("n_pieces"), "round_trip")
