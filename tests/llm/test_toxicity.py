@@ -22,10 +22,10 @@ def test_gradient_equals_differences():
 
     def loss():
         logit = np.zeros(len(start))
-        logit[:] = net.score(inputs, net.gates(inputs), start, size)
+        logit[:] = net.score(inputs, net.vectors(inputs), start, size)
         return np.mean(np.logaddexp(0, logit) - label[owner] * logit)
 
-    grad = net.gradients(inputs, start, size, label[owner])
+    grad = net.gradients(inputs, net.vectors(inputs), start, size, label[owner])
     rng = np.random.default_rng(0)
     for name, g in grad.items():
         flat = np.flatnonzero(np.abs(g.ravel()) > 1e-4)

@@ -67,15 +67,17 @@ class WordInputs:
         gram = (left * np.uint64(512) + padded[here + 1]) * np.uint64(512) + right
         self.grams = (mix(gram + np.uint64(99)) % np.uint64(GRAMS)).astype(np.int64)
         self.sizes = size
+        self.longest = np.argsort(-size, kind="stable")
 
     def mean_rows(self, table: np.ndarray) -> np.ndarray:
         """Mean of the table's rows over each word's trigrams."""
-        out = np.zeros((len(self.sizes), table.shape[1]), table.dtype)
-        at = np.cumsum(self.sizes) - self.sizes
-        left = np.arange(len(self.sizes))
-        for k in range(int(self.sizes.max(initial=0))):
-            left = left[self.sizes[left] > k]
-            out[left] += table[self.grams[at[left] + k]]
+        total = np.zeros((len(self.sizes), table.shape[1]), table.dtype)
+        at = (np.cumsum(self.sizes) - self.sizes)[self.longest]
+        left = len(at) - np.cumsum(np.bincount(self.sizes)) if len(at) else []
+        for k, n in enumerate(left):  # n words have a trigram k: the first ones, as long words come first
+            total[:n] += table[self.grams[at[:n] + k]]
+        out = np.empty_like(total)
+        out[self.longest] = total
         return out / np.maximum(self.sizes, 1)[:, None].astype(table.dtype)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,7 +91,10 @@ class WordInputs:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    out = np.tanh(0.5 * x)
+    out *= 0.5
+    out += 0.5
+    return out
 
 
 def _scatter(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -125,30 +130,40 @@ class Network:
     def from_bytes(cls, data: bytes) -> Network:
         return cls(dict(np.load(io.BytesIO(data))))
 
-    def gates(self, inputs: WordInputs) -> dict[str, np.ndarray]:
-        """Input gates of every distinct word per direction, and one row of zeros for no word."""
-        out = {}
-        for d in "fb":
-            into = self.w[f"in_{d}"]
-            own = (self.w["words"] @ into)[inputs.ids] + (self.w["stems"] @ into)[inputs.stems]
-            own += inputs.mean_rows(self.w["grams"] @ into)
-            out[d] = np.concatenate((own + self.w[f"bias_{d}"], np.zeros((1, 3 * HIDDEN), np.float32)))
+    def vectors(self, inputs: WordInputs) -> np.ndarray:
+        """Input of every distinct word, and one row of zeros for no word."""
+        w = self.w
+        own = w["words"][inputs.ids] + w["stems"][inputs.stems] + inputs.mean_rows(w["grams"])
+        return np.concatenate((own, np.zeros((1, WIDTH), own.dtype)))
+
+    def gates(self, vectors: np.ndarray) -> dict[str, np.ndarray]:
+        """Input gates of these words per direction; those of the last row, no word, are zeros."""
+        out = {d: vectors @ self.w[f"in_{d}"] for d in "fb"}
+        for d, rows in out.items():
+            rows[:-1] += self.w[f"bias_{d}"]
         return out
 
     def _run(self, gates: np.ndarray, index: np.ndarray, mask: np.ndarray, d: str, keep: list | None) -> np.ndarray:
         """States of one direction, (steps, windows, hidden); ``keep`` collects what backward needs."""
         steps, n = index.shape
-        state, h = self.w[f"state_{d}"], np.zeros((n, HIDDEN), np.float32)
+        gate_r, gate_z, gate_c = map(np.ascontiguousarray, np.split(gates, 3, axis=1))
+        state_r, state_z, state_c = map(np.ascontiguousarray, np.split(self.w[f"state_{d}"], 3, axis=1))
+        h = np.zeros((n, HIDDEN), np.float32)
         out = np.empty((steps, n, HIDDEN), np.float32)
+        full = mask.all(axis=1)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            g, s = gates[index[t]], h @ state
-            rz = _sigmoid(g[:, : 2 * HIDDEN] + s[:, : 2 * HIDDEN])
-            r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
-            c = np.tanh(g[:, 2 * HIDDEN :] + r * s[:, 2 * HIDDEN :])
-            new = c + z * (h - c)
+            r = _sigmoid(gate_r.take(index[t], axis=0) + h @ state_r)
+            z = _sigmoid(gate_z.take(index[t], axis=0) + h @ state_z)
+            s = h @ state_c
+            c = r * s
+            c += gate_c.take(index[t], axis=0)
+            np.tanh(c, out=c)
+            new = h - c
+            new *= z
+            new += c
             if keep is not None:
-                keep.append((t, h, r, z, c, s[:, 2 * HIDDEN :]))
-            h = np.where(mask[t][:, None], new, h)
+                keep.append((t, h, r, z, c, s))
+            h = new if full[t] else np.where(mask[t][:, None], new, h)
             out[t] = h
         return out
 
@@ -168,8 +183,9 @@ class Network:
         words = np.append(inputs.words, none)
         return np.where(mask, words[np.minimum(start + t, len(words) - 1)], none), mask
 
-    def score(self, inputs: WordInputs, gates: dict, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def score(self, inputs: WordInputs, vectors: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Logit of every window."""
+        gates = self.gates(vectors)
         out = np.empty(len(start), np.float32)
         order = np.argsort(size, kind="stable")
         for lo in range(0, len(start), LIMIT):
@@ -179,10 +195,12 @@ class Network:
             out[some] = self._pool(states, mask)[3]
         return out
 
-    def gradients(self, inputs: WordInputs, start: np.ndarray, size: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(
+        self, inputs: WordInputs, vectors: np.ndarray, start: np.ndarray, size: np.ndarray, label: np.ndarray
+    ) -> dict[str, np.ndarray]:
         """Gradient of the mean log loss over these windows for every weight."""
         w = self.w
-        gates = self.gates(inputs)
+        gates = self.gates(vectors)
         index, mask = self._index(inputs, start, size)
         kept: dict[str, list] = {"f": [], "b": []}
         states = np.concatenate([self._run(gates[d], index, mask, d, kept[d]) for d in "fb"], axis=2)
@@ -199,8 +217,6 @@ class Network:
         grad["attend_bias"] = d_u.sum(axis=(0, 1))
         d_states += d_u @ w["attend"].T
         d_input = np.zeros((len(inputs.ids) + 1, WIDTH), np.float32)
-        mean = inputs.mean_rows(w["grams"])
-        vectors = np.concatenate((w["words"][inputs.ids] + w["stems"][inputs.stems] + mean, np.zeros((1, WIDTH), np.float32)))
         for d, part in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, None))):
             state = w[f"state_{d}"]
             d_state, carry = np.zeros_like(state), np.zeros((len(label), HIDDEN), np.float32)
@@ -245,7 +261,8 @@ def train(texts: list[str], labels: np.ndarray) -> Network:
             start, size, owner = inputs.windows()
             if not len(start):
                 continue
-            rank = rng.random(len(start)) if step < WARM else net.score(inputs, net.gates(inputs), start, size)
+            vectors = net.vectors(inputs)
+            rank = rng.random(len(start)) if step < WARM else net.score(inputs, vectors, start, size)
             best = np.lexsort((-rank, owner))
             head = np.ones(len(best), bool)
             head[1:] = owner[best][1:] != owner[best][:-1]
@@ -253,7 +270,7 @@ def train(texts: list[str], labels: np.ndarray) -> Network:
                 place = np.arange(len(best)) - np.maximum.accumulate(np.where(head, np.arange(len(best)), 0))
                 head = place < 4
             pick = best[head]
-            grad = net.gradients(inputs, start[pick], size[pick], labels[some][owner[pick]].astype(np.float32))
+            grad = net.gradients(inputs, vectors, start[pick], size[pick], labels[some][owner[pick]].astype(np.float32))
             step += 1
             for k, g in grad.items():
                 first[k] += 0.1 * (g - first[k])
@@ -299,7 +316,7 @@ def scored(docs: DataFrame, model: bytes | None, name: str = "score", keep_text:
                 inputs = WordInputs(texts)
                 start, size, owner = inputs.windows()
                 if net is not None and len(start):
-                    np.maximum.at(worst, owner, net.score(inputs, net.gates(inputs), start, size))
+                    np.maximum.at(worst, owner, net.score(inputs, net.vectors(inputs), start, size))
                 out.append(np.where(np.isfinite(worst), _sigmoid(np.maximum(worst, -700)), 0.0))
             kept = [i for i, column in enumerate(batch.schema.names) if column not in dropped]
             yield pa.RecordBatch.from_arrays(
