@@ -1,4 +1,4 @@
-"""SentencePiece encoding and decoding with a batched Viterbi search.
+"""SentencePiece encoding and decoding with batched merging and a batched Viterbi search.
 
 Texts are escaped as the model does it (identity normalisation, a leading space, spaces as U+2581)
 and cut into words at spaces and around characters that no piece contains; no piece crosses such a
@@ -7,9 +7,11 @@ together: substring hashes of each length probe the sorted hashes of the pieces,
 position vectorised maxima over the piece lengths store the score and the backpointer. Ties take the
 longest last piece. Characters without a piece cost ten less than the worst piece and become bytes.
 
-This is the best-scoring segmentation under the scores in the file. A model file of the BPE kind
-holds merge priorities as scores; its own library merges greedily instead, which can split a word
-differently. Both decode to the same text.
+The search gives the best-scoring segmentation under the scores in the file. A model file of the BPE
+kind holds merge priorities as scores, and its segmentation is another: as long as two neighbours
+form a piece, the pair of the highest score (the leftmost of equal ones) is merged. ``merge`` does
+that for words of equal length at once, one merge per word and step, and for long words one by one
+with a heap; its ids are those of the library. Both decode to the same text.
 
 Defined results: null and empty texts give no ids; every row is encoded by itself, also rows that
 share a doc_id or have none; U+2581 in a text decodes to a space, as in the library; ids that are
@@ -19,6 +21,7 @@ not in the model raise; extra columns are kept aside; an empty table gives an em
 from __future__ import annotations
 
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,7 @@ from tidemark.llm.pretokens import Points
 from tidemark.llm.token_counts import vocabulary_path
 
 BLANK, CACHE_WORDS, CELLS, CHUNK_IDS = 0x2581, 1 << 19, 1 << 16, 1 << 18
+LONG_WORD = 256
 _SEED = 3
 
 
@@ -58,6 +62,7 @@ class PieceModel:
         self.heads = np.zeros(1 << 20, bool)
         self.heads[self.hashes >> np.uint64(44)] = True
         self.scores = np.array([model.get_score(i) for i in plain])[order]
+        self.priority = {s: model.get_score(i) for s, i in zip(strings, plain)}
         self.unknown = self.scores.min() - 10.0
         self.known = np.zeros(0x110000, bool)
         self.known[np.unique(np.concatenate(points))] = True
@@ -81,18 +86,23 @@ class PieceModel:
         out[likely] = np.where(self.hashes[at] == some, at, -1)
         return out
 
-    def search(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best pieces of words of one length (one word per row of code points): ids end to end, and
-        how many each word has."""
+    def _pieces(self, words: np.ndarray) -> list[np.ndarray]:
+        """By length less one: for every word and start, the place of the piece or -1."""
         m, size = words.shape
         sums = np.zeros((m, size + 1), np.uint64)
         np.cumsum(_letters(words) * _power(_SEED, size), axis=1, out=sums[:, 1:])
         shift = _power(_SEED, size, inverse=True)
-        reach = min(self.longest, size)
-        piece = []  # by length: for every start, the place of the piece or -1
-        for length in range(1, reach + 1):
-            h = mix((sums[:, length:] - sums[:, : size - length + 1]) * shift[: size - length + 1])
-            piece.append(self._find(h))
+        return [
+            self._find(mix((sums[:, length:] - sums[:, : size - length + 1]) * shift[: size - length + 1]))
+            for length in range(1, min(self.longest, size) + 1)
+        ]
+
+    def search(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best pieces of words of one length (one word per row of code points): ids end to end, and
+        how many each word has."""
+        m, size = words.shape
+        piece = self._pieces(words)
+        reach = len(piece)
         gain = [np.where(p >= 0, self.scores[p], -np.inf) for p in piece]
         gain[0] = np.where(piece[0] >= 0, gain[0], self.unknown)
         best = np.zeros((m, size + 1))
@@ -112,7 +122,78 @@ class PieceModel:
             rows, ends = rows[more], start[more]
         row, start, length = (np.concatenate(c) for c in zip(*steps))
         order = np.lexsort((start, row))
-        row, start, length = row[order], start[order], length[order]
+        return self._spelled(words, piece, row[order], start[order], length[order])
+
+    def merge(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merged pieces of words of one length, as the library forms them: ids end to end, and how
+        many each word has."""
+        m, size = words.shape
+        piece = self._pieces(words)
+        if size > LONG_WORD:
+            ends = [self._merged_alone("".join(map(chr, w))) for w in words.tolist()]
+            row = np.repeat(np.arange(m), [len(e) for e in ends])
+            end = np.concatenate(ends)
+            start = np.concatenate([[0, *e[:-1]] for e in ends])
+            return self._spelled(words, piece, row, start, end - start)
+        reach = len(piece)
+        score = np.full((reach + 1, m, size + 1), -np.inf)
+        for k in range(2, reach + 1):
+            score[k, :, : size - k + 1] = np.where(piece[k - 1] >= 0, self.scores[piece[k - 1]], -np.inf)
+        head = np.ones((m, size), bool)
+        # of every symbol's start: the next one's and the one before it; the score of joining it to the next
+        after = np.tile(np.arange(1, size + 2), (m, 1))
+        before = np.tile(np.arange(-1, size), (m, 1))
+        pair = score[min(2, reach)].copy() if size > 1 else np.full((m, size + 1), -np.inf)
+        rows = np.arange(m)
+        while True:
+            at = pair[rows].argmax(axis=1) if len(rows) < m else pair.argmax(axis=1)
+            more = pair[rows, at] > -np.inf
+            rows, at = rows[more], at[more]
+            if not len(rows):
+                break
+            gone = after[rows, at]
+            end = after[rows, gone]
+            head[rows, gone] = False
+            after[rows, at], before[rows, end] = end, at
+            pair[rows, gone] = -np.inf
+            span = after[rows, end] - at
+            joins = (end < size) & (span <= reach)
+            pair[rows, at] = np.where(joins, score[np.where(joins, span, 0), rows, at], -np.inf)
+            left = before[rows, at]
+            some = left >= 0
+            r, to, stop = rows[some], left[some], end[some]
+            span = stop - to
+            pair[r, to] = np.where(span <= reach, score[np.minimum(span, reach), r, to], -np.inf)
+        row, start = np.nonzero(head)
+        return self._spelled(words, piece, row, start, after[row, start] - start)
+
+    def _merged_alone(self, word: str) -> list[int]:
+        """Ends of the merged pieces of one word."""
+        size, score = len(word), self.priority
+        after, before = list(range(1, size + 1)), list(range(-1, size))
+        heap = [(-score[word[i : i + 2]], i, i + 1, i + 2) for i in range(size - 1) if word[i : i + 2] in score]
+        heapify(heap)
+        while heap:
+            _, at, middle, end = heappop(heap)
+            if after[at] != middle or middle >= size or after[middle] != end:
+                continue  # one of the two was merged since
+            after[at], after[middle], before[end] = end, -1, at
+            if end < size and word[at : after[end]] in score:
+                heappush(heap, (-score[word[at : after[end]]], at, end, after[end]))
+            left = before[at]
+            if left >= 0 and word[left:end] in score:
+                heappush(heap, (-score[word[left:end]], left, at, end))
+        ends, at = [], 0
+        while at < size:
+            at = after[at]
+            ends.append(at)
+        return ends
+
+    def _spelled(
+        self, words: np.ndarray, piece: list[np.ndarray], row: np.ndarray, start: np.ndarray, length: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the spans in order, characters without a piece as bytes, and how many each word has."""
+        m = len(words)
         found = np.empty(len(row), np.int64)
         for k in np.unique(length).tolist():
             of = length == k
@@ -138,11 +219,18 @@ class PieceModel:
         return [out[a + (out[a : a + 1] == b" ") : b] for a, b in zip(to, to[1:])]
 
 
+@cache
+def model(path: str) -> PieceModel:
+    """The worker's model, kept from task to task."""
+    return PieceModel(path)
+
+
 class PieceEncoder:
-    """Encodes slices of texts; remembers up to about ``CACHE_WORDS`` words, then starts anew."""
+    """Encodes slices of texts by search or, ``merged``, by merging; remembers up to about ``CACHE_WORDS`` words, then starts anew."""
 
-    def __init__(self, path: str) -> None:
-        self.model = PieceModel(path)
+    def __init__(self, path: str, merged: bool = False) -> None:
+        self.model = model(path)
+        self._split = self.model.merge if merged else self.model.search
         self._forget()
 
     def _forget(self) -> None:
@@ -166,7 +254,7 @@ class PieceEncoder:
             size = int(length[same[0]])
             for lo in range(0, len(same), max(1, CELLS // size)):
                 some = same[lo : lo + max(1, CELLS // size)]
-                ids, counts = self.model.search(points[starts[some][:, None] + np.arange(size)])
+                ids, counts = self._split(points[starts[some][:, None] + np.arange(size)])
                 number[some] = counts
                 parts.append((some, ids))
         begin = np.cumsum(number) - number
@@ -219,9 +307,9 @@ class PieceEncoder:
 
 
 @cache
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, merged: bool = False) -> PieceEncoder:
     """The worker's encoder, kept from task to task."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, merged)
 
 
 def _offsets(counts: np.ndarray) -> pa.Array:
@@ -229,26 +317,40 @@ def _offsets(counts: np.ndarray) -> pa.Array:
 
 
 def encode_texts(
-    docs: DataFrame, path: str, text: str = "text", ids: str = "piece_ids", check: str | None = None
+    docs: DataFrame,
+    path: str,
+    text: str = "text",
+    ids: str | None = "piece_ids",
+    check: str | None = None,
+    merged: str | None = None,
 ) -> DataFrame:
-    """``docs`` with a column of piece ids after its others, and with ``check`` a column that tells
-    whether the ids decode to the text again (with U+2581 as a space)."""
+    """``docs`` with a column ``ids`` of searched piece ids after its others, with ``merged`` a column
+    of the ids that merging gives, and with ``check`` a column that tells whether all of them decode to
+    the text again (with U+2581 as a space)."""
+    ways = [(name, way) for name, way in ((ids, False), (merged, True)) if name]
 
     def encode(batches: Batches) -> Batches:
         for batch in batches:
             for texts in slices(batch.column(text)):
-                own, number = encoder(path)(Points.of(texts))
-                lists = pa.ListArray.from_arrays(_offsets(number), pa.array(own))
-                columns = [*batch.slice(texts.first, len(texts)).columns, lists]
+                points = Points.of(texts)
+                columns = [*batch.slice(texts.first, len(texts)).columns]
+                same = np.ones(len(texts), bool)
                 if check:
-                    said = encoder(path).model.decode(own, number)
                     data = texts.data.tobytes()
                     own_text = [data[a:b].replace(b"\xe2\x96\x81", b" ") for a, b in zip(texts.bounds, texts.bounds[1:])]
-                    columns.append(pa.array([x == y for x, y in zip(said, own_text)], pa.bool_()))
-                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, ids, *([check] if check else [])])
+                for _, way in ways:
+                    own, number = encoder(path, way)(points)
+                    columns.append(pa.ListArray.from_arrays(_offsets(number), pa.array(own)))
+                    if check:
+                        said = model(path).decode(own, number)
+                        same &= np.fromiter((x == y for x, y in zip(said, own_text)), bool, len(texts))
+                if check:
+                    columns.append(pa.array(same))
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *(name for name, _ in ways), *([check] if check else [])])
 
-    kept = docs.drop(ids, *([check] if check else [])).withColumn(text, F.col(text).cast("string"))
-    added = {ids: F.lit(None).cast("array<int>")} | ({check: F.lit(None).cast("boolean")} if check else {})
+    kept = docs.drop(*(name for name, _ in ways), *([check] if check else [])).withColumn(text, F.col(text).cast("string"))
+    added = {name: F.lit(None).cast("array<int>") for name, _ in ways}
+    added |= {check: F.lit(None).cast("boolean")} if check else {}
     return kept.mapInArrow(encode, kept.withColumns(added).schema)
 
 
@@ -274,8 +376,12 @@ def decode_ids(docs: DataFrame, path: str, ids: str = "piece_ids", text: str = "
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Piece ids of every document, and whether they decode to its text again."""
+    """Piece ids of every document by search and by the model's own merging (``model_ids``), and whether
+    both decode to its text again."""
     path = vocabulary_path("piece_bpe_32k.model")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    encoded = encode_texts(docs, path, check="round_trip")
-    return encoded.select("doc_id", "piece_ids", F.size("piece_ids").cast("bigint").alias("n_pieces"), "round_trip")
+    encoded = encode_texts(docs, path, check="round_trip", merged="model_ids")
+    return encoded.select(
+        "doc_id", "piece_ids", F.size("piece_ids").cast("bigint").alias("n_pieces"), "round_trip",
+        "model_ids", F.size("model_ids").cast("bigint").alias("n_model_ids"),
+    )
