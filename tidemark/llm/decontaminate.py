@@ -3,18 +3,22 @@
 A mask keeps some positions of a window of tokens and ignores the others, so a substituted token that
 falls on an ignored position does not hide a match. The kept tokens of every window of documents and
 benchmark items are hashed per mask; where hashes meet, both texts are laid over each other at that
-place and compared token by token, ``reach`` tokens to either side of the window (as far as both
-texts go). The overlap counts if it has at least ``least`` tokens (or the whole item) and at least
-``share`` percent of them agree.
+place and compared token by token, up to ``reach`` tokens to either side of the window (as far as both
+texts go). An overlap counts if it has at least ``least`` tokens (or the whole item) and at least
+``share`` percent of them agree. First the widest one is judged; where that fails, text around a quote
+may dilute it, so of all narrower ones (any number of tokens to the left and to the right) the one
+with the most agreement above ``share`` is judged. Narrower overlaps are reported only for pairs of
+document and item without a wide one that holds. Items with fewer tokens than a mask are looked up
+whole: every run of as many tokens is hashed, and compared where hashes meet.
 
 The windows of a document are made inside its row and probe the benchmark's seeds in the same stage;
 nothing is shuffled but verified overlaps. The benchmark is broadcast only while its seeds number at
 most ``BROADCAST_SEEDS`` (counted first); a larger one is joined by shuffle.
 
 Tokens are runs of letters and digits, lower-cased. Defined results: null and empty texts match
-nothing; items with fewer tokens than a mask cannot be searched and match nothing; rows sharing a
-doc_id are one document, also those without one; repeated items are matched each; extra columns are
-ignored; an empty table gives an empty result.
+nothing; items with fewer tokens than a mask match only runs that equal them; rows sharing a doc_id are one document, also those without one; repeated items are matched each; extra columns are
+ignored; an empty table gives an empty result. The SQL twin states the wide overlaps only; results are
+equal where every narrower quote and short item has none.
 """
 
 from __future__ import annotations
@@ -43,6 +47,52 @@ def _seeds(frame: DataFrame, position: str, masks: tuple[str, ...]) -> DataFrame
     return frame.withColumn(position, F.explode(starts)).withColumn("seed", F.explode(F.array(*hashes)))
 
 
+def _agreeing(start: Column | int, length: Column | int) -> Column:
+    """How many tokens agree among ``length`` from the offset ``start`` of the overlap."""
+    return F.size(F.filter(F.slice("same", start + F.lit(1), length), lambda same: same))
+
+
+def _best_span(span: int, least: int, share: int) -> Column:
+    """Of all overlaps of the seed window and any tokens beside it the one that has the most agreement
+    above ``share``, then the longest: struct of excess, n, skipped tokens, alike; null if all are too short."""
+    spans = F.flatten(
+        F.transform(
+            "left",
+            lambda some, l: F.transform(
+                "right",
+                lambda more, r: F.struct(
+                    (100 * (some + more + F.col("core")) - share * (l + r + span)).alias("excess"),
+                    (l + r + span).alias("n"),
+                    (F.col("back") - l).alias("skip"),
+                    (some + more + F.col("core")).alias("alike"),
+                ),
+            ),
+        )
+    )
+    return F.array_max(F.filter(spans, lambda s: s["n"] >= F.least(F.lit(least), F.col("size"))))
+
+
+def _short_runs(texts: DataFrame, items: DataFrame, span: int) -> DataFrame | None:
+    """Runs of a document's tokens that equal an item of fewer tokens than a mask."""
+    short = items.where(F.size("item_words").between(1, span - 1))
+    sizes = sorted(r[0] for r in short.select(F.size("item_words")).distinct().collect())
+    if not sizes:
+        return None
+    few = short.count() <= BROADCAST_SEEDS
+    short = short.select("item_id", "item_words", F.xxhash64("item_words").alias("seed"))
+    starts = lambda k: F.when(F.size("words") >= k, F.sequence(F.lit(0), F.size("words") - k))
+    named = lambda k: lambda i: F.struct(i.alias("at"), F.lit(k).alias("n"))
+    runs = [F.transform(starts(k), named(k)) for k in sizes]
+    run = F.explode(F.flatten(F.array_compact(F.array(*runs)))).alias("run")
+    words = F.slice("words", F.col("run.at") + 1, F.col("run.n"))
+    found = texts.select("doc_id", "words", run).select("doc_id", "run", words.alias("mine"))
+    found = found.withColumn("seed", F.xxhash64("mine")).join(F.broadcast(short) if few else short, "seed")
+    return found.where(F.col("mine") == F.col("item_words")).select(
+        "doc_id", "item_id", F.lit(True).alias("wide"), F.col("run.at").alias("first"),
+        F.col("run.n").alias("n"), F.col("run.n").alias("alike"),
+    )
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -54,7 +104,8 @@ def contaminated(
     """doc_id, item_id, first_token, last_token, best_percent of every overlap that holds."""
     span = len(masks[0])
     hashed = F.transform("words", lambda w: F.xxhash64(w))
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("item_words")).where(F.size("item_words") >= span)
+    every = benchmark.select("item_id", tokens(F.col("text")).alias("item_words"))
+    items = every.where(F.size("item_words") >= span)
     seeds = _seeds(
         items.withColumn("h", F.transform("item_words", lambda w: F.xxhash64(w))), "at_item", masks
     ).select("seed", "item_id", "at_item", "item_words")
@@ -70,21 +121,41 @@ def contaminated(
     back = F.least(F.lit(reach), F.col("at"), F.col("at_item"))
     ahead = F.least(F.lit(span + reach), F.size("words") - F.col("at"), F.size("item_words") - F.col("at_item"))
     laid = hits.select(
-        "doc_id", "item_id", (F.col("at") - back).alias("first"), (back + ahead).alias("n"),
+        "doc_id", "item_id", (F.col("at") - back).alias("first"), back.alias("back"), (back + ahead).alias("n"),
         F.size("item_words").alias("size"),
-        F.slice("words", F.col("at") - back + 1, back + ahead).alias("mine"),
-        F.slice("item_words", F.col("at_item") - back + 1, back + ahead).alias("theirs"),
+        F.zip_with(
+            F.slice("words", F.col("at") - back + 1, back + ahead),
+            F.slice("item_words", F.col("at_item") - back + 1, back + ahead),
+            lambda a, b: a == b,
+        ).alias("same"),
     )
-    alike = F.size(F.filter(F.zip_with("mine", "theirs", lambda a, b: a == b), lambda same: same))
-    return (
-        laid.withColumn("alike", alike)
-        .where((F.col("n") >= F.least(F.lit(least), F.col("size"))) & (100 * F.col("alike") >= share * F.col("n")))
-        .groupBy("doc_id", "item_id")
-        .agg(
-            F.min("first").cast("bigint").alias("first_token"),
-            F.max(F.col("first") + F.col("n") - 1).cast("bigint").alias("last_token"),
-            F.max(F.floor(100 * F.col("alike") / F.col("n"))).cast("bigint").alias("best_percent"),
-        )
+    counted = laid.withColumns(
+        {
+            "alike": _agreeing(F.lit(0), F.col("n")),
+            "core": _agreeing(F.col("back"), F.lit(span)),
+            "left": F.transform(F.sequence(F.lit(0), "back"), lambda l: _agreeing(F.col("back") - l, l)),
+            "right": F.transform(
+                F.sequence(F.lit(0), F.col("n") - F.col("back") - span), lambda r: _agreeing(F.col("back") + span, r)
+            ),
+        }
+    )
+    enough = (F.col("n") >= F.least(F.lit(least), F.col("size"))) & (100 * F.col("alike") >= share * F.col("n"))
+    judged = counted.withColumn("wide", enough).withColumn("best", F.when(~enough, _best_span(span, least, share)))
+    overlaps = judged.where(F.col("wide") | (F.col("best.excess") >= 0)).select(
+        "doc_id", "item_id", "wide",
+        F.when(F.col("wide"), F.col("first")).otherwise(F.col("first") + F.col("best.skip")).alias("first"),
+        F.when(F.col("wide"), F.col("n")).otherwise(F.col("best.n")).alias("n"),
+        F.when(F.col("wide"), F.col("alike")).otherwise(F.col("best.alike")).alias("alike"),
+    )
+    runs = _short_runs(texts, every, span)
+    if runs is not None:
+        overlaps = overlaps.unionByName(runs)
+    last, percent = F.col("first") + F.col("n") - 1, F.floor(100 * F.col("alike") / F.col("n"))
+    widest = lambda value: F.when(F.col("wide"), value)
+    return overlaps.groupBy("doc_id", "item_id").agg(
+        F.coalesce(F.min(widest(F.col("first"))), F.min("first")).cast("bigint").alias("first_token"),
+        F.coalesce(F.max(widest(last)), F.max(last)).cast("bigint").alias("last_token"),
+        F.coalesce(F.max(widest(percent)), F.max(percent)).cast("bigint").alias("best_percent"),
     )
 
 
