@@ -258,9 +258,9 @@ def _train(spark, d, horizon: int):
 
 @query("j17_boosted_forecast")
 def j17(spark, d):
-    train = _train(spark, d, 14)
-    model = T.fit_lag_trees(train, "station_id", "date", "value", trees=10)
-    return T.forecast_lag_trees(train, "station_id", "date", "value", 14, model)
+    train = _train(spark, d, 60)
+    model = T.fit_lag_trees(train, "station_id", "date", "value", trees=100)
+    return T.forecast_lag_trees(train, "station_id", "date", "value", 60, model)
 
 
 @query("j18_arima_forecast")
