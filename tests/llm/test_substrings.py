@@ -4,12 +4,14 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
+from tidemark.llm import arrays
 from tidemark.llm.substring_dedup import op1_substring_dedup, remove_repeated
 from tidemark.llm.suffix_dedup import op7_suffix_dedup, remove_repeated_bytes
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 def brute_words(docs, width):
@@ -78,6 +80,30 @@ def test_bytes_equal_brute_force(spark, hot):
     assert got == brute_bytes(docs, 24)
 
 
+def test_documents_of_one_shard(spark):
+    """Ids that share every shard, each with two passages apart: what stands between them stays."""
+    rng = random.Random(5)
+    words = lambda k: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(k))
+    passages = [words(20) for _ in range(4)]
+    docs = []
+    for i in range(24):
+        one, two = rng.sample(passages, 2)
+        docs.append((i << 40, f"{words(5)} {one} {words(30)} {two} {words(7)}"))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in remove_repeated(df, width=12, gram=3).collect()}
+    assert got == brute_words(docs, 12)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeated_bytes(df, width=40).collect()}
+    assert got == brute_bytes(docs, 40)
+
+
+def test_gather_in_slices(monkeypatch):
+    monkeypatch.setattr(arrays, "SLICE_BYTES", 64)
+    data = np.frombuffer(bytes(range(256)), np.uint8)
+    starts, sizes = np.array([3, 200, 0, 10, 5]), np.array([20, 50, 0, 1, 7])
+    want = b"".join(bytes(data[a : a + n]) + b"  " for a, n in zip(starts, sizes))
+    assert arrays.gather(data, starts, sizes, gap=2).tobytes() == want
+
+
 def test_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     words, data = brute_words(rows, 50), brute_bytes(rows, 100)

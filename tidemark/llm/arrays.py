@@ -145,13 +145,25 @@ def cover(starts: np.ndarray, width: int, n: int) -> np.ndarray:
 
 
 def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, gap: int = 0, fill: int = 32) -> np.ndarray:
-    """The bytes of the given spans end to end, each followed by ``gap`` bytes of ``fill``."""
+    """The bytes of the given spans end to end, each followed by ``gap`` bytes of ``fill``.
+
+    Index arrays are eight times the bytes, so they are formed for a slice of spans at a time; a span
+    longer than a slice is copied as it is."""
     sizes = lengths + gap
     ends = np.cumsum(sizes)
     if not len(sizes) or not ends[-1]:
         return np.zeros(0, np.uint8)
-    index = np.arange(ends[-1]) + np.repeat(starts - (ends - sizes), sizes)
-    out = data[np.minimum(index, len(data) - 1)] if len(data) else np.zeros(ends[-1], np.uint8)
+    out = np.full(ends[-1], fill, np.uint8)
+    lo = 0
+    while lo < len(sizes):
+        begin = ends[lo] - sizes[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, begin + (SLICE_BYTES >> 1), side="right")))
+        if hi == lo + 1:
+            out[begin : begin + lengths[lo]] = data[starts[lo] : starts[lo] + lengths[lo]]
+        elif len(data):
+            index = np.arange(begin, ends[hi - 1]) + np.repeat(starts[lo:hi] - (ends[lo:hi] - sizes[lo:hi]), sizes[lo:hi])
+            out[begin : ends[hi - 1]] = data[np.minimum(index, len(data) - 1)]
+        lo = hi
     for k in range(gap):
         out[ends - 1 - k] = fill
     return out

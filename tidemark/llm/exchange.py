@@ -18,15 +18,20 @@ from pyspark.sql import functions as F
 from tidemark.llm.arrays import Texts, slices
 
 Batches = Iterator[pa.RecordBatch]
+MOST_SHARDS = 1 << 22  # where Spark does not know a size
+HELD_KEYS = 1 << 21
 _BLOCK = "shard int, flag int, a binary, b binary, c binary, d binary"
 _BLOCK_ARROW = pa.schema(
     [("shard", pa.int32()), ("flag", pa.int32())] + [(x, pa.binary()) for x in "abcd"]
 )
 
 
-def shard_count(spark: SparkSession) -> int:
-    """Shards follow the session's shuffle partitions, four to each, so that they spread evenly."""
-    return max(1024, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def shard_count(docs: DataFrame) -> int:
+    """At least four shards to each shuffle partition, and one for every 32 MB that Spark expects of
+    ``docs``, so that a shard stays small whatever number of partitions the session has."""
+    expected = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1024, 4 * partitions, min(expected >> 25, MOST_SHARDS))
 
 
 def blocks(shard: np.ndarray, flag: int, *columns: np.ndarray) -> Batches:
@@ -53,7 +58,8 @@ def by_shard(batches: Batches) -> Iterator[tuple[int, list[dict]]]:
 
     def rows() -> Iterator[dict]:
         for batch in batches:
-            yield from batch.to_pylist()
+            for at in range(batch.num_rows):
+                yield batch.slice(at, 1).to_pylist()[0]
 
     for shard, group in groupby(rows(), key=lambda r: r["shard"]):
         yield shard, list(group)
@@ -80,19 +86,24 @@ def repeated_keys(
     sketches meet by shard, where sums of two or more decide. Result: doc_id, keys array<bigint>, and
     with ``hot`` a second list of those keys that count more often than that.
     """
-    shards = shard_count(docs.sparkSession)
+    shards = shard_count(docs)
 
     def emit(batches: Batches) -> Batches:
-        keys, owners = [], []
+        keys, owners, held = [], [], 0
         for batch in batches:
             ids = np.asarray(batch.column("doc_id"))
             for texts in slices(batch.column("text")):
                 k, d = keys_of(texts, ids[texts.first : texts.first + len(texts)])
                 keys.append(k)
                 owners.append(d)
-        if not keys:
-            return
-        key, doc = np.concatenate(keys), np.concatenate(owners)
+                held += len(k)
+                if held >= HELD_KEYS:
+                    yield from sketch(np.concatenate(keys), np.concatenate(owners))
+                    keys, owners, held = [], [], 0
+        if keys:
+            yield from sketch(np.concatenate(keys), np.concatenate(owners))
+
+    def sketch(key: np.ndarray, doc: np.ndarray) -> Batches:
         order = np.argsort(key, kind="stable")
         key, doc = key[order], doc[order]
         first = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
@@ -157,8 +168,12 @@ def by_document(places: DataFrame) -> DataFrame:
             doc, first, size = (joined(rows, c, np.int64) for c in "abc")
             order = np.lexsort((first, doc))
             doc, first, end = doc[order], first[order], (first + size)[order]
+            # ranks of the places, offset per document: a running maximum never reaches into the next one
+            values, rank = np.unique(np.concatenate((first, end)), return_inverse=True)
+            offset = np.cumsum(np.concatenate(([0], doc[1:] != doc[:-1])))[: len(doc)] * len(values)
+            begins, reach = rank[: len(doc)] + offset, np.maximum.accumulate(rank[len(doc) :] + offset)
             new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (first[1:] > np.maximum.accumulate(end)[:-1])
+            new[1:] = begins[1:] > reach[:-1]
             at = np.flatnonzero(new)
             end = np.maximum.reduceat(end, at)
             doc, first = doc[at], first[at]

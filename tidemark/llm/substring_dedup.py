@@ -29,7 +29,7 @@ from tidemark.llm.exchange import (
     _BLOCK, Batches, blocks, by_document, by_shard, contains, dealt, flat_keys, identified, joined, repeated_keys, shard_count,
 )
 
-WIDTH, GRAM, DEPTH, BITS = 50, 8, 2, 40
+WIDTH, GRAM, DEPTH, BITS, HELD = 50, 8, 2, 40, 1 << 20
 
 
 def _word_hashes(texts: Texts, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +73,7 @@ def covered_windows(
     ``docs`` and the same rows dealt by doc_id come from ``identified``. A window's place is
     ``text tag << 36 | first word``.
     """
-    shards = shard_count(docs.sparkSession)
+    shards = shard_count(docs)
 
     def sketched(texts: Texts, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         _, _, _, owner, least = _windows(texts, width, gram)
@@ -88,8 +88,9 @@ def covered_windows(
         return np.concatenate([cells(key, r, bits) for r in range(depth)]), np.tile(doc, depth)
 
     def suspects(batches: Batches) -> Batches:
-        """Windows estimated repeated; of those alike in this partition only the first is sent."""
+        """Windows estimated repeated; of ``HELD`` windows those that are alike are sent once."""
         found: list[tuple[np.ndarray, ...]] = []
+        held = 0
         for batch in batches:
             ids = np.asarray(batch.column("doc_id"))
             hits = flat_keys(batch.column("keys"))
@@ -110,9 +111,14 @@ def covered_windows(
                     ids[texts.first + owner],
                     place,
                 ))
-        if not found:
-            return
-        high, low, doc, place = (np.concatenate(c) for c in zip(*found))
+                held += len(at)
+                if held >= HELD:
+                    yield from sent(*(np.concatenate(c) for c in zip(*found)))
+                    found, held = [], 0
+        if found:
+            yield from sent(*(np.concatenate(c) for c in zip(*found)))
+
+    def sent(high: np.ndarray, low: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Batches:
         order = np.lexsort((doc, low, high))
         high, low, doc, place = high[order], low[order], doc[order], place[order]
         least_doc = _least(high, low, doc)
