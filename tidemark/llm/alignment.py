@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.arrays import gather, slices
 from tidemark.llm.exchange import Batches
 from tidemark.llm.token_counts import vocabulary_path
-from tidemark.runtime import cut_lineage
+from tidemark.runtime import cut_lineage, discard
 
 COMMON = 1 << 19
 SLICE, STEP = 1 << 18, 1 << 20
@@ -193,6 +193,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, common: int = COMMON) ->
     table = cut_lineage(
         counts.withColumn("a", side).join(best, "a").select("pair", "c", (F.col("c") == F.col("most")).alias("best"))
     )
+    discard(counts)
     # the counts from which on at most ``common`` pairs are common, in steps of a sixteenth of a doubling
     step = F.floor(F.log2("c") * 16).cast("int")
     heights = sorted(((r["h"], r["k"]) for r in table.groupBy(step.alias("h")).agg(F.count("*").alias("k")).collect()), reverse=True)

@@ -37,7 +37,7 @@ from tidemark.llm.arrays import Texts, mix, slices
 from tidemark.llm.exchange import Batches, repeated_keys
 from tidemark.llm.graph import components
 from tidemark.llm.near_dedup import shingles, whole_groups
-from tidemark.runtime import cut_lineage
+from tidemark.runtime import cut_lineage, discard
 
 WORDS, PERCENT, CROWDED, BLOCK = 3, 90, 64, 512
 FULL, LOOKS, NEAR, WITHOUT, LOOKS_WITHOUT, LOWER = 1, 2, 4, 8, 16, 32
@@ -254,6 +254,7 @@ def jaccard_components(
     wide = cut_lineage(
         texts.join(shared, "doc_id").mapInArrow(full_sets, "id bigint, n bigint, shingles array<bigint>, keys array<bigint>")
     )
+    discard(texts)
     sets = wide.select("id", "n", "shingles")
     entries = cut_lineage(wide.mapInArrow(entries_of, "key bigint, id bigint, below int"))
 
@@ -295,8 +296,10 @@ def jaccard_components(
         .mapInArrow(looked_up, "key bigint, id bigint, kind int")
     )
     signs = sets.mapInArrow(signs_of, "id bigint, lower int, n bigint, sign binary")
+    discard(entries)
     met = _blocks(_placed(allocated, found), signs, block).mapInArrow(compare, "a bigint, b bigint")
     found = _joined(found, cut_lineage(verified(met.distinct())))
+    discard(wide, allocated)
 
     rooted = classes.join(found, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component"))
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
@@ -335,10 +338,13 @@ def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
         .join(found.select(F.col("id").alias("b"), F.col("component").alias("bc")), "b", "left")
         .select(label("a").alias("a"), label("b").alias("b"))
     )
-    above = cut_lineage(components(lifted)).select(F.col("id").alias("component"), F.col("component").alias("root"))
+    stars = cut_lineage(components(lifted))
+    above = stars.select(F.col("id").alias("component"), F.col("component").alias("root"))
     known = found.join(above, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
     fresh = above.select(F.col("component").alias("id"), F.col("root").alias("component"))
-    return cut_lineage(known.union(fresh.join(found.select("id"), "id", "left_anti")))
+    both = cut_lineage(known.union(fresh.join(found.select("id"), "id", "left_anti")))
+    discard(links, stars, found)
+    return both
 
 
 def _blocks(placed: DataFrame, signs: DataFrame, block: int) -> DataFrame:
