@@ -16,9 +16,11 @@ its smallest segments: keys of the segment without one of its shingles. If equal
 find a pair then both sets have so many crowded keys, so only such sets state deletions.
 
 Only components matter: sets with equal shingles are one class, whose members count as one; each class
-is first compared with the member of its buckets' largest component that shares most keys with it; then
-pairs of different components that meet in a bucket are formed inside tasks, in pairs of blocks of
-bounded size, and must share m - H keys and have fitting sizes. What is left is verified on full sets.
+is first compared with a few leaders of its buckets' largest components, other ones in each round, and
+with those that agree best linked to them; then pairs of different components that meet in a bucket are
+formed inside tasks, in pairs of blocks of bounded size. A pair must have fitting sizes, and of a finer
+partition (cells of about two shingles, four bits of each) at most H cells may differ, as every shingle
+that only one set has changes one cell; what is left is verified on full sets.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; fewer words than a
 shingle form one shingle; a row without doc_id has component null; rows that share a doc_id are each
@@ -39,7 +41,7 @@ from tidemark.llm.graph import components
 from tidemark.llm.near_dedup import shingles, whole_groups
 from tidemark.runtime import cut_lineage, discard
 
-WORDS, PERCENT, CROWDED, BLOCK = 3, 90, 64, 512
+WORDS, PERCENT, CROWDED, BLOCK, ROUNDS, LEADERS = 3, 90, 64, 512, 2, 4
 FULL, LOOKS, NEAR, WITHOUT, LOOKS_WITHOUT, LOWER = 1, 2, 4, 8, 16, 32
 _FEW = 1 << 16  # pairs whose keys are compared at once
 
@@ -55,6 +57,7 @@ class Bands:
         most = (100 - percent) * (self.first[1:] - 1) // percent  # H of each band
         self.spare = np.append((most + 1) // 3, 0)
         self.segments = np.append(most + 1, 1) + self.spare
+        self.cells = 2 * (np.append(self.first[1:], self.first[-1]) // 4 + 1)
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, sizes, side="right") - 1
@@ -82,7 +85,7 @@ class Partition:
         use = np.zeros(len(count), bool)
         use[self.whose] = True
         self.sets, self.count, self.band = sets[np.repeat(use, count)], count[use], band[use]
-        self.segments, self.spare = bands.segments[self.band], bands.spare[self.band]
+        self.segments, self.spare, self.cells = bands.segments[self.band], bands.spare[self.band], bands.cells[self.band]
         self.at, self.first = _segments(self.sets, self.count, self.segments)
         total = int(self.segments.sum())
         self.letters = mix(self.sets + np.uint64(0x1B873593))
@@ -93,6 +96,15 @@ class Partition:
         self.segment = np.arange(total) - np.repeat(self.first, self.segments)
         self.keys = _keys(self.content, self.band[self.owner], self.segment)
 
+    def briefs(self) -> list[bytes]:
+        """Four bits of the content of every cell of each set; unequal cells agree once in 16."""
+        at, first = _segments(self.sets ^ np.uint64(0x632BE59BD9B4E019), self.count, self.cells)
+        content = np.zeros(int(self.cells.sum()), np.uint64)
+        np.add.at(content, at, self.letters)
+        four = (mix(content) >> np.uint64(60)).astype(np.uint8)
+        body = (four[::2] << 4 | four[1::2]).tobytes()
+        return [body[a : a + m] for a, m in zip((first // 2).tolist(), (self.cells // 2).tolist())]
+
     def without_one(self, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of the segment and key of every segment of these sets less one shingle."""
         some = np.flatnonzero(np.isin(self.owner[self.at], owners))
@@ -227,19 +239,30 @@ def jaccard_components(
                 )
 
     def signs_of(batches: Batches) -> Batches:
-        """Eight bits of every key of a set in a band; unequal keys agree once in 256."""
+        """The cells of every set in both of its bands."""
         for batch in batches:
             sets, count = _flat(batch.column("shingles"))
             ids = np.asarray(batch.column("id"))
             for below in (0, 1):
                 p = Partition(sets, count, below, percent)
-                brief = (mix(p.keys) & np.uint64(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[p.whose]), pa.array(np.full(len(p.whose), LOWER * below, np.int32)), pa.array(p.count),
-                     pa.array([brief[a : a + m].tobytes() for a, m in zip(p.first, p.segments)], pa.binary())],
+                     pa.array(p.briefs(), pa.binary())],
                     names=["id", "lower", "n", "sign"],
                 )
 
+    def agreeing(batches: Batches) -> Batches:
+        """Pairs with a leader that may reach the threshold, and the share of cells that differ."""
+        for batch in batches:
+            one, two = _packed(batch.column("sa")), _packed(batch.column("sb"))
+            na, nb = np.asarray(batch.column("na")), np.asarray(batch.column("nb"))
+            keep, apart = _close(np.arange(batch.num_rows), np.arange(batch.num_rows), one, two, na, nb, percent)
+            some = pa.array(keep)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a").take(some), batch.column("b").take(some), pa.array(-apart[keep] / one[2][keep])],
+                names=["a", "b", "share"],
+            )
+
     def compare(batches: Batches) -> Batches:
         for table in whole_groups(batches, ["key", "one", "two"]):
             yield _meet(table, percent)
@@ -268,24 +291,32 @@ def jaccard_components(
             .select("a", "b")
         )
 
+    signs = cut_lineage(sets.mapInArrow(signs_of, "id bigint, lower int, n bigint, sign binary"))
+    side = lambda x: signs.select(
+        F.col("id").alias(x), F.col("lower").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("sign").alias(f"s{x}")
+    )
     found: DataFrame | None = None
-    for _ in range(2):
-        placed = _placed(entries, found)
-        buckets = _buckets(placed)
-        # each set with the leader of the bucket's largest component that it meets most often
+    for turn in range(ROUNDS):
+        placed = _placed(entries, found).withColumn("lower", F.col("below") * LOWER)
+        leaders = _buckets(placed, turn)
         led = (
-            placed.join(buckets, "key")
+            placed.join(leaders, "key")
             .where(F.col("comp") != F.col("main"))
-            .groupBy(F.col("id").alias("a"), F.col("leader").alias("b"))
-            .agg(F.count("*").alias("c"))
+            .select("id", "lower", F.explode("leaders").alias("leader"))
+            .select(F.col("id").alias("a"), F.col("lower").alias("la"), F.col("leader.id").alias("b"), F.col("leader.lower").alias("lb"))
+            .where("la = 0 or lb = 0")
+            .distinct()
+            .join(side("a"), ["a", "la"])
+            .join(side("b"), ["b", "lb"])
+            .mapInArrow(agreeing, "a bigint, b bigint, share double")
             .groupBy("a")
-            .agg(F.max(F.struct("c", "b"))["b"].alias("b"))
+            .agg(F.max(F.struct("share", "b"))["b"].alias("b"))
         )
         found = _joined(found, cut_lineage(verified(led)))
     placed = _placed(entries, found)
     own = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
     costs = (
-        placed.join(_buckets(placed), "key")
+        placed.join(_buckets(placed.withColumn("lower", F.lit(0)), 0), "key")
         .join(own, ["key", "comp"])
         .groupBy("id")
         .agg(F.collect_list(F.struct("key", (F.col("n") - F.col("c")).alias("cost"))).alias("told"))
@@ -299,7 +330,7 @@ def jaccard_components(
     discard(entries)
     met = _blocks(_placed(allocated, found), signs, block).mapInArrow(compare, "a bigint, b bigint")
     found = _joined(found, cut_lineage(verified(met.distinct())))
-    discard(wide, allocated)
+    discard(wide, allocated, signs)
 
     rooted = classes.join(found, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component"))
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
@@ -317,14 +348,19 @@ def _placed(entries: DataFrame, found: DataFrame | None) -> DataFrame:
     return entries.join(found, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
 
 
-def _buckets(placed: DataFrame) -> DataFrame:
-    """Keys that different components share: entries, the largest component and its leader."""
-    per = placed.groupBy("key", "comp").agg(F.count("*").alias("c"), F.max("id").alias("leader"))
+def _buckets(placed: DataFrame, turn: int) -> DataFrame:
+    """Keys that different components share: entries, the largest component and some of its members,
+    in every turn other ones."""
+    member = F.struct("id", "lower")
+    some = [F.max_by(member, F.xxhash64("id", F.lit(LEADERS * turn + k))).alias(f"m{k}") for k in range(LEADERS)]
+    per = placed.groupBy("key", "comp").agg(F.count("*").alias("c"), *some)
+    leaders = F.array(*(F.col(f"m{k}") for k in range(LEADERS))).alias("leaders")
     return (
-        per.groupBy("key")
-        .agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.max(F.struct("c", "comp", "leader")).alias("top"))
+        per.select("key", "comp", "c", leaders)
+        .groupBy("key")
+        .agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.max(F.struct("c", "comp", "leaders")).alias("top"))
         .where("k > 1")
-        .select("key", "n", F.col("top.comp").alias("main"), F.col("top.leader").alias("leader"))
+        .select("key", "n", F.col("top.comp").alias("main"), F.array_distinct("top.leaders").alias("leaders"))
     )
 
 
@@ -386,6 +422,30 @@ def _blocks(placed: DataFrame, signs: DataFrame, block: int) -> DataFrame:
     )
 
 
+def _packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a binary column end to end, and start and length of each value."""
+    values = column.to_pylist()
+    length = np.fromiter(map(len, values), np.int64, len(values))
+    return np.frombuffer(b"".join(values), np.uint8), np.cumsum(length) - length, length
+
+
+def _close(
+    x: np.ndarray, y: np.ndarray, one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...], nx: np.ndarray, ny: np.ndarray, percent: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of rows may reach the threshold, and in how many cells each pair differs."""
+    apart = np.zeros(len(x), np.int64)
+    step = max(1, _FEW // int(one[2].max(initial=1)))
+    for lo in range(0, len(x), step):
+        p, q = x[lo : lo + step], y[lo : lo + step]
+        m = np.minimum(one[2][p], two[2][q])
+        at = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+        other = one[0][np.repeat(one[1][p], m) + at] ^ two[0][np.repeat(two[1][q], m) + at]
+        differ = (other > 15).astype(np.int64) + (other & 15 > 0)
+        apart[lo : lo + step] = np.add.reduceat(differ, np.cumsum(m) - m)
+    fit = 100 * np.minimum(nx[x], ny[y]) >= percent * np.maximum(nx[x], ny[y])
+    return np.flatnonzero(fit & (apart <= (100 - percent) * (nx[x] + ny[y]) // (100 + percent))), apart
+
+
 def _meet(table: pa.Table, percent: int) -> pa.RecordBatch:
     """Pairs of a visitor and a host of each group of ``table`` that may reach the threshold."""
     table = table.combine_chunks()
@@ -395,10 +455,7 @@ def _meet(table: pa.Table, percent: int) -> pa.RecordBatch:
     new = np.ones(len(ids), bool)
     new[1:] = (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
     group = np.cumsum(new)
-    signs = table["sign"].to_pylist()
-    length = np.fromiter(map(len, signs), np.int64, len(signs))
-    body = np.frombuffer(b"".join(signs), np.uint8)
-    start = np.cumsum(length) - length
+    packed = _packed(table["sign"])
     found, active, k = [], np.arange(len(ids)), 1
     while True:
         active = active[active + k < len(ids)]
@@ -415,15 +472,8 @@ def _meet(table: pa.Table, percent: int) -> pa.RecordBatch:
         less |= ((a & LOOKS_WITHOUT) > 0) & ((b & FULL) > 0) | ((b & LOOKS_WITHOUT) > 0) & ((a & FULL) > 0)
         fit &= equal | less
         x, y = x[fit], y[fit]
-        for lo in range(0, len(x), max(1, _FEW // int(length.max(initial=1)))):
-            part = slice(lo, lo + max(1, _FEW // int(length.max(initial=1))))
-            p, q = x[part], y[part]
-            m = length[p]
-            at = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-            same = body[np.repeat(start[p], m) + at] == body[np.repeat(start[q], m) + at]
-            agree = np.add.reduceat(same.astype(np.int64), np.cumsum(m) - m)
-            keep = agree >= m - (100 - percent) * (n[p] + n[q]) // (100 + percent)
-            found.append((ids[p[keep]], ids[q[keep]]))
+        keep, _ = _close(x, y, packed, packed, n, n, percent)
+        found.append((ids[x[keep]], ids[y[keep]]))
     if found:
         a, b = (np.concatenate(c) for c in zip(*found))
         pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
