@@ -26,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrays import gather, slices
+from tidemark.llm.arrays import Texts, gather, slices
 from tidemark.llm.exchange import Batches
+from tidemark.llm.pretokens import Points
 from tidemark.llm.token_counts import vocabulary_path
 from tidemark.runtime import cut_lineage, discard
 
-COMMON = 1 << 19
+COMMON, REMEMBERED = 1 << 19, 1 << 19
 SLICE, STEP = 1 << 18, 1 << 20
 _PLAIN = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
 
@@ -66,6 +67,7 @@ class Sides:
         self.bytes_b = self._table([self._piece(i) for i in range(self.b.get_piece_size())])
         self.size_b = self.b.get_piece_size()
         self.digits = self._table([str(i).encode() for i in range(max(size, self.size_b))])
+        self._forget()
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -76,15 +78,52 @@ class Sides:
         size = np.fromiter(map(len, parts), np.int64, len(parts))
         return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size
 
-    def encode(self, texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    def encode(self, texts: Texts, strings: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
         """Ids of all texts end to end and their number, by A and by B."""
-        one = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        two = self.b.encode(texts, num_threads=1)
-        out = []
-        for ids in (one, two):
-            count = np.fromiter(map(len, ids), np.int64, len(ids))
-            out.append((np.fromiter((i for row in ids for i in row), np.int64, int(count.sum())), count))
-        return out[0], out[1]
+        two = self.b.encode(strings, num_threads=1)
+        count = np.fromiter(map(len, two), np.int64, len(two))
+        return self._words(texts), (np.fromiter((i for row in two for i in row), np.int64, int(count.sum())), count)
+
+    def _forget(self) -> None:
+        self.h1, self.h2 = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _spelled(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        rows = [e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, rows), np.int64, len(rows))
+        return np.fromiter((i for row in rows for i in row), np.int64, int(size.sum())), size
+
+    def _words(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids by A of a space and each text: the library encodes every distinct pre-token once and they
+        are remembered, up to about ``REMEMBERED``."""
+        raw, n = Points.of(texts), len(texts)
+        points, bounds = np.insert(raw.points, raw.bounds[:-1], 0x20), raw.bounds + np.arange(n + 1)
+        cut = Points(points, bounds)
+        starts, ends = cut.spaced_tokens()
+        h1, h2 = cut.hashes(starts, ends)
+        one, first, inverse = np.unique(h1, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.h1, one), max(len(self.h1) - 1, 0))
+        new = first[self.h1[at] != one] if len(self.h1) else first
+        if len(self.h1) + len(new) > REMEMBERED:
+            self._forget()
+            new = first
+        if len(new):
+            ids, size = self._spelled(cut.strings(starts[new], ends[new]))
+            place = np.searchsorted(self.h1, h1[new])
+            self.begin = np.insert(self.begin, place, len(self.ids) + np.cumsum(size) - size)
+            self.size, self.ids = np.insert(self.size, place, size), np.concatenate((self.ids, ids))
+            self.h1, self.h2 = np.insert(self.h1, place, h1[new]), np.insert(self.h2, place, h2[new])
+        at = np.searchsorted(self.h1, one)[inverse]
+        size, source, where = self.size[at], self.ids, self.begin[at]
+        other = np.flatnonzero(self.h2[at] != h2)  # two pre-tokens under one 64-bit hash
+        if len(other):
+            ids, size[other] = self._spelled(cut.strings(starts[other], ends[other]))
+            where[other] = len(source) + np.cumsum(size[other]) - size[other]
+            source = np.concatenate((source, ids))
+        to = np.cumsum(size)
+        total = int(to[-1]) if len(to) else 0
+        owner = np.searchsorted(bounds, starts, side="right") - 1
+        return source[np.arange(total) + np.repeat(where - (to - size), size)], np.bincount(owner, size, minlength=n).astype(np.int64)
 
 
 @cache
@@ -125,11 +164,11 @@ def _digest(tool: Sides, ids: np.ndarray, kind: np.ndarray, group: np.ndarray, o
     return [hashlib.sha256(body[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(bounds, bounds[1:])]
 
 
-def _aligned(tool: Sides, texts: list[str | None]) -> tuple[list[np.ndarray], list[str], np.ndarray, np.ndarray, np.ndarray]:
+def _aligned(tool: Sides, slice_: Texts, texts: list[str | None]) -> tuple[list[np.ndarray], list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Per document n_a, n_b, n_groups and n_links, and the digest; distinct pairs of all documents end
     to end, how often each stands, and how many a document has."""
     n = len(texts)
-    (ids_a, count_a), (ids_b, count_b) = tool.encode([t or "" for t in texts])
+    (ids_a, count_a), (ids_b, count_b) = tool.encode(slice_, [t or "" for t in texts])
     whole = [(" " + t).encode() if t else b"" for t in texts]
     tiles = []
     keep = np.fromiter(map(bool, whole), bool, n)
@@ -174,7 +213,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, common: int = COMMON) ->
         for batch in batches:
             for texts in slices(batch.column("text"), SLICE):
                 mine = slice(texts.first, texts.first + len(texts))
-                numbers, digest, pairs, times, count = _aligned(tool, batch.column("text")[mine].to_pylist())
+                numbers, digest, pairs, times, count = _aligned(tool, texts, batch.column("text")[mine].to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("row")[mine], batch.column("doc_id")[mine], *map(pa.array, numbers), pa.array(digest, pa.string()),
                      _lists(pairs, count), _lists(times, count)],
