@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import attribution as A
+from tidemark.operators import boosting as B
 from tidemark.operators import clustering as C
 from tidemark.operators import forecast as T
 from tidemark.operators import regression as G
@@ -109,9 +110,9 @@ def j8(spark, d):
 
 @query("j10_boosted_trees")
 def j10(spark, d):
+    """200 trees of depth 5 with leaf penalties and sampled columns, five folds."""
     rows, columns = split_features(spark, d)
-    learner = G.boosted_trees("recovery", trees=10)
-    return G.evaluate(rows, "boosted trees", learner, "recovery", columns, folds=5)[0]
+    return B.evaluate_boosted(rows, "boosted trees", "station_id", "recovery", columns)[0]
 
 
 @query("j11_random_forest")
@@ -226,17 +227,25 @@ def j15_linear(spark, d):
     return shaped(out, {"station_id": None, "feature": None, "phi": 8})
 
 
+def boosted_model(spark, d):
+    """Rows, columns and the forest learned from the training rows."""
+    rows, columns = split_features(spark, d)
+    train = rows.where(~F.col("is_test")).withColumn("_all", F.lit(True))
+    return rows, columns, B.fit(train, "station_id", "recovery", columns, ["_all"])[0]
+
+
+@query("j15_tree_attribution")
+def j15_trees(spark, d):
+    """Exact contribution of each feature to the boosted prediction of every test row, 100 background rows."""
+    rows, columns, forest = boosted_model(spark, d)
+    reference = A.background(rows.where(~F.col("is_test")), "station_id", columns)
+    return A.tree_attribution(rows.where("is_test"), "station_id", columns, forest, reference)
+
+
 @query("j15_sampled_attribution")
 def j15_sampled(spark, d):
-    """Mean absolute contribution of each feature to a boosted model on the test rows."""
-    rows, columns = split_features(spark, d)
-    train = rows.where(~F.col("is_test"))
-    model = G.boosted_trees("recovery", trees=10, depth=3).fit(G.assemble(train, columns))
-    reference = A.background(train, "station_id", columns, size=20)
-    test = rows.where("is_test")
-    return A.importance(
-        A.permutation_attribution(test, "station_id", columns, model, reference, permutations=2)
-    )
+    """Mean absolute contribution of each feature on the test rows, by the same exact values."""
+    return A.importance(j15_trees(spark, d))
 
 
 @query(
