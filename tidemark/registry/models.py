@@ -64,7 +64,7 @@ def j6(spark, d):
     """Clusters of scaled station features."""
     rows = C.z_scores(cluster_input(spark, d), _CLUSTER_COLUMNS, "_z")
     clustered, _ = C.kmeans(
-        rows, [f"{c}_z" for c in _CLUSTER_COLUMNS], k=4, restarts=3
+        rows, [f"{c}_z" for c in _CLUSTER_COLUMNS], k=4, restarts=20
     )
     return clustered.select("station_id", "cluster")
 
@@ -74,7 +74,7 @@ def j6_vectors(spark, d):
     """Clusters of the generic vectors."""
     parts = [F.get("features", F.lit(i)).cast("double").alias(f"x{i}") for i in range(64)]
     points = v_points(spark, d).select("id", *parts)
-    clustered, _ = C.kmeans(points, [f"x{i}" for i in range(64)], k=10, restarts=2)
+    clustered, _ = C.kmeans(points, [f"x{i}" for i in range(64)], k=10, restarts=20)
     return clustered.select("id", "cluster")
 
 
