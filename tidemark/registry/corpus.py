@@ -80,7 +80,7 @@ def h16(spark, d):
 @query(
     "h17_skill_pairs",
     """WITH top AS (SELECT item FROM skills_items WHERE item <> '' GROUP BY 1
-                    ORDER BY count(*) DESC, item LIMIT 20),
+                    ORDER BY count(*) DESC, item LIMIT 100),
        k AS (SELECT * FROM skills_items WHERE item IN (SELECT item FROM top))
        SELECT least(a.item, b.item) AS skill_a, greatest(a.item, b.item) AS skill_b,
          count(*) AS weight FROM k a JOIN k b ON a.row_id = b.row_id AND a.pos < b.pos
@@ -88,7 +88,7 @@ def h16(spark, d):
     "skills_items",
 )
 def h17(spark, d):
-    return K.skill_pairs(skills(spark, d), top_n=20)
+    return K.skill_pairs(skills(spark, d), top_n=100)
 
 
 @query(
