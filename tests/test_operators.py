@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import columns as C
 from tidemark.functions import seeds, text
 from tidemark.functions.tails import incomplete_beta
-from tidemark.operators import breaks, cooccurrence, inference, quantiles, ranks, rollup, series
+from tidemark.operators import breaks, cooccurrence, inference, order, quantiles, ranks, rollup, series
 from tidemark.operators.unitroot import adf
 from tidemark.plans import evidence, postings, recovery
 from tidemark.sources import readers, tables
@@ -26,7 +26,7 @@ def test_exact_quantiles_on_a_hot_group(spark):
     df = spark.createDataFrame(frame).repartition(7)
     probabilities = [0.0, 0.01, 0.37, 0.5, 0.99, 1.0]
     names = [f"q{i}" for i in range(6)]
-    out = quantiles.exact_quantiles(df, ["k"], "v", probabilities, names, accuracy=1000).toPandas()
+    out = quantiles.exact_quantiles(df, ["k"], "v", probabilities, names, partitions=16).toPandas()
     for key, values in (("hot", hot), ("cold", np.arange(7.0))):
         row = out[out["k"] == key].iloc[0]
         np.testing.assert_allclose(row[names].astype(float), np.quantile(values, probabilities))
@@ -39,6 +39,33 @@ def test_quantiles_skip_nulls_and_keep_single_rows(spark):
     assert [tuple(r) for r in quantiles.exact_median(df, ["k"], "v", "m").collect()] == [("a", 1, 3.0)]
 
 
+def test_medians_of_several_columns_keep_a_null_key(spark):
+    rows = [("a", 3.0, None), ("a", 5.0, None), (None, 9.0, 2.0), ("b", None, None)]
+    df = spark.createDataFrame(rows, "k string, v double, w double")
+    values = {"v": F.col("v"), "w": F.col("w")}
+    found = {r["k"]: (r["v"], r["w"]) for r in quantiles.exact_medians(df, ["k"], values).collect()}
+    assert found == {"a": (4.0, None), None: (9.0, 2.0)}
+    assert [tuple(r) for r in quantiles.exact_medians(df.limit(0), [], values).collect()] == [(None, None)]
+
+
+def test_positions_and_sizes_of_ranges(spark):
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({"k": np.where(rng.random(20_000) < 0.5, "hot", rng.integers(0, 50, 20_000).astype(str))})
+    frame["v"] = rng.permutation(len(frame)).astype(float)
+    df = spark.createDataFrame(frame).repartition(5)
+    found = order.positions(df, ["k"], ["v"], "at", total="n", partitions=32).toPandas().set_index("v").sort_index()
+    told = frame.set_index("v").sort_index()
+    assert found["at"].tolist() == told.groupby("k").cumcount().tolist()
+    assert found["n"].tolist() == told.groupby("k")["k"].transform("size").tolist()
+    largest = {
+        parts: order.range_parts(df, ["k", "v"], parts).groupBy("_part").count().agg(F.max("count")).first()[0]
+        for parts in (4, 32)
+    }
+    assert largest[32] * 4 < largest[4]
+    ranked = ranks.value_ranks(df, "v", keys=["k"], partitions=32).toPandas().set_index("v").sort_index()
+    assert ranked["rank"].tolist() == told.reset_index().groupby("k")["v"].rank().tolist()
+
+
 def average_ranks(values):
     return pd.Series(values).rank(method="average").to_numpy()
 

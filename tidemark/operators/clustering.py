@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import rule_label
+from tidemark.operators.order import with_keys
+from tidemark.operators.quantiles import exact_medians
 from tidemark.runtime import cut_lineage
 
 
@@ -174,11 +176,9 @@ def kmeans(
 def cluster_profile(
     df: DataFrame, cluster: str, ratio: str, columns: Sequence[str]
 ) -> DataFrame:
-    """Size, column medians and the rule name of each cluster.
-
-    One row per station enters, so the medians hold a dimension's values at most.
-    """
-    medians = [F.median(c).alias(f"median_{c}") for c in columns]
+    """Size, column medians and the rule name of each cluster."""
+    df = cut_lineage(df.select(cluster, *columns))
+    medians = exact_medians(df, [cluster], {f"median_{c}": F.col(c) for c in columns})
     middle = F.col(f"median_{ratio}")
     name = rule_label(
         [
@@ -189,7 +189,6 @@ def cluster_profile(
         "mixed",
     )
     return (
-        df.groupBy(cluster)
-        .agg(F.count("*").alias("n"), *medians)
+        with_keys(df.groupBy(cluster).agg(F.count("*").alias("n")), medians, [cluster], "left")
         .withColumn("cluster_name", F.concat(name, F.lit(" (C"), F.col(cluster), F.lit(")")))
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.columns import ratio
+from tidemark.operators.order import positions
 from tidemark.operators.regression import FEATURES, PREDICTION, metric_columns
 from tidemark.operators.series import hold_out, lag_features
 from tidemark.runtime import cut_lineage
@@ -25,11 +26,9 @@ _STEPS_PER_CUT = 10
 def representative_series(df: DataFrame, series: str, value: str) -> DataFrame:
     """The largest, middle and smallest series by mean value (one row per series is ranked)."""
     sizes = df.groupBy(series).agg(F.avg(value).alias("mean_value"))
-    by_size = Window.orderBy(F.desc("mean_value"), series)
-    ranked = sizes.withColumn("rank", F.row_number().over(by_size) - 1)
-    n = sizes.agg(F.count("*").alias("n")).scalar()
-    wanted = F.array(F.lit(0).cast("long"), F.floor(n / 2), n - 1)
-    return ranked.where(F.array_contains(wanted, F.col("rank").cast("long")))
+    ranked = positions(sizes, [], [F.desc("mean_value"), F.asc(series)], "rank", total="_all")
+    wanted = F.array(F.lit(0).cast("long"), F.floor(F.col("_all") / 2), F.col("_all") - 1)
+    return ranked.where(F.array_contains(wanted, F.col("rank"))).drop("_all")
 
 
 def _train_scale(train: DataFrame, series: str, value: str) -> DataFrame:

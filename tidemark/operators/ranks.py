@@ -2,63 +2,48 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.order import PART, offsets, range_parts, with_keys
 from tidemark.runtime import cut_lineage
 
-_BUCKETS = 256
-
 
 def value_ranks(
     df: DataFrame,
     value: str,
     extra_counts: Mapping[str, Column] | None = None,
     weight: str | None = None,
+    keys: Sequence[str] = (),
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Distinct values with their count ``c`` and average rank (1-based).
-
-    A row stands for ``weight`` equal rows when that column is given.
+    """Distinct values per key with their count ``c`` and average rank (1-based).
 
-    Equal values are counted first. The distinct values are then cut into ordered buckets at
-    approximate quantiles, ranked inside each bucket, and shifted by the total of the buckets
-    below. Any bucket edges give the same ranks; the edges only balance the work.
+    A row stands for ``weight`` equal rows when that column is given. Equal values are counted first;
+    the distinct values are ordered inside ranges and shifted by the counts of the ranges before.
     """
-    extra = dict(extra_counts or {})
-    rows = df.where(F.col(value).isNotNull())
-    counts = rows.groupBy(F.col(value).cast("double").alias("v")).agg(
-        (F.count("*") if weight is None else F.sum(weight)).alias("c"),
-        *[c.alias(name) for name, c in extra.items()],
-    )
-    steps = [i / _BUCKETS for i in range(1, _BUCKETS)]
-    # A few hundred numbers come to the driver, so that every use of the buckets sees the same edges.
-    edges = rows.agg(
-        F.percentile_approx(F.col(value).cast("double"), steps, 10_000).alias("e")
-    ).first()["e"]
-    splits = [float("-inf"), *(sorted(set(edges or [])) or [0.0]), float("inf")]
-    counts = Bucketizer(splits=splits, inputCol="v", outputCol="b").transform(counts)
-    totals = counts.groupBy("b").agg(F.sum("c").alias("t"))
-    # At most _BUCKETS rows, so one task and a broadcast are bounded.
-    below = totals.select(
-        "b",
-        (F.sum("t").over(Window.orderBy("b")) - F.col("t")).alias("below"),
-    )
-    inside = F.sum("c").over(Window.partitionBy("b").orderBy("v")) - F.col("c")
-    return (
-        counts.withColumn("inside", inside)
-        .join(F.broadcast(below), "b")
-        .withColumn("rank", F.col("below") + F.col("inside") + (F.col("c") + 1) / 2)
-        .select("v", "c", "rank", *extra)
+    extra, keys = dict(extra_counts or {}), list(keys)
+    counts = (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).cast("double").alias("v"))
+        .agg(
+            (F.count("*") if weight is None else F.sum(weight)).alias("c"),
+            *[c.alias(name) for name, c in extra.items()],
+        )
     )
+    parts = range_parts(counts, [*keys, "v"], partitions)
+    inside = F.sum("c").over(Window.partitionBy(*keys, PART).orderBy("v")) - F.col("c")
+    placed = with_keys(parts.withColumn("_inside", inside), offsets(parts, keys, F.col("c")), [*keys, PART])
+    rank = F.col("_below") + F.col("_inside") + (F.col("c") + 1) / 2
+    return placed.select(*keys, "v", "c", rank.alias("rank"), *extra)
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation of two columns over the rows where both are present.
 
-    Equal pairs are counted and written first, and the ranks of both columns are made from them. A
+    Equal pairs are counted and written first, and both columns are ranked from them in one pass. A
     value shared by many different pairs makes a skewed join key, which adaptive execution splits;
     the rank side has one row per distinct value.
     """
@@ -66,12 +51,12 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
         F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
     ).na.drop()
     pairs = cut_lineage(rows.groupBy("x", "y").agg(F.count("*").alias("c")))
+    sides = [F.struct(F.lit(side).alias("side"), F.col(side).alias("v")) for side in ("x", "y")]
+    ranks = value_ranks(pairs.select("c", F.inline(F.array(*sides))), "v", weight="c", keys=["side"])
     ranked = pairs
     for column in ("x", "y"):
-        ranks = value_ranks(pairs, column, weight="c")
-        ranked = ranked.join(
-            ranks.select(F.col("v").alias(column), F.col("rank").alias(f"r{column}")), column
-        )
+        mine = ranks.where(F.col("side") == column)
+        ranked = ranked.join(mine.select(F.col("v").alias(column), F.col("rank").alias(f"r{column}")), column)
     c, rx, ry = F.col("c"), F.col("rx"), F.col("ry")
     n = F.col("n")
     centre = n * (n + 1) * (n + 1) / 4.0

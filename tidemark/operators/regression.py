@@ -10,6 +10,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import exact_medians
 from tidemark.runtime import cut_lineage
 
 
@@ -34,11 +35,10 @@ def with_split(
 def impute_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace nulls by the exact column median.
 
-    Rows are stations, a dimension; they are written once, because the medians and the filling
-    both read them.
+    Rows are written once, because the medians and the filling both read them.
     """
     df = cut_lineage(df)
-    medians = df.agg(F.struct(*[F.median(c).alias(c) for c in columns]).alias("m")).scalar()
+    medians = exact_medians(df, [], {c: F.col(c) for c in columns}).select(F.struct(*columns)).scalar()
     return df.withColumns({c: F.coalesce(F.col(c), medians.getField(c)) for c in columns})
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import ratio, to_column
+from tidemark.operators.order import positions
 
 
 def ordered(keys: Sequence[str], order: str):
@@ -169,4 +170,4 @@ def deviation_band(df: DataFrame, mean: str, std: str) -> DataFrame:
 
 def position_in_group(df: DataFrame, group: str, order: str, name: str = "position") -> DataFrame:
     """Zero-based position of a member inside its group, for one row per member."""
-    return df.withColumn(name, F.row_number().over(ordered([group], order)) - 1)
+    return positions(df, [group], [order], name)

@@ -18,8 +18,11 @@ from tidemark.functions.columns import (
     to_int,
 )
 from tidemark.operators.inference import line_fit
+from tidemark.operators.order import with_keys
+from tidemark.operators.quantiles import exact_medians
 from tidemark.operators.regression import impute_medians, one_hot
 from tidemark.operators.rollup import without_null_keys
+from tidemark.runtime import cut_lineage
 
 MORNING_HOURS = (7, 8, 9)
 EVENING_HOURS = (17, 18, 19)
@@ -131,13 +134,16 @@ def commute_ratio_by_period(hourly: DataFrame, period: Column, name: str = "year
 def commute_trend(ratios: DataFrame, period: str = "year") -> DataFrame:
     """Distribution of the ratio and share of commuter stations (0.7 to 1.3) per period."""
     r = F.col("commute_ratio")
-    return ratios.groupBy(period).agg(
-        F.median(r).alias("median"),
+    ratios = cut_lineage(ratios.select(period, r))
+    means = ratios.groupBy(period).agg(
         F.avg(r).alias("mean"),
         F.stddev_samp(r).alias("std"),
         share(r.between(0.7, 1.3)).alias("commute_pct"),
         F.count(r).alias("n_stations"),
     )
+    return with_keys(means, exact_medians(ratios, [period], {"median": r}), [period], "left").select(
+        period, "median", "mean", "std", "commute_pct", "n_stations"
+    )
 
 
 def commute_verdict(trend: DataFrame, period: str = "year") -> DataFrame:
@@ -167,7 +173,7 @@ def commute_verdict(trend: DataFrame, period: str = "year") -> DataFrame:
 
 
 def borough_medians(ratios: DataFrame, period: str = "year") -> DataFrame:
-    return ratios.groupBy("borough", period).agg(F.median("commute_ratio").alias("median_ratio"))
+    return exact_medians(ratios, ["borough", period], {"median_ratio": F.col("commute_ratio")})
 
 
 def scatter_table(
@@ -239,8 +245,9 @@ def feature_matrix(
 def borough_recovery_gap(stations: DataFrame, centre: str) -> DataFrame:
     """Median recovery of the centre borough against the others."""
     is_centre = F.col("borough") == F.lit(centre)
-    return stations.agg(
-        F.median(F.when(is_centre, F.col("recovery"))).alias("centre_median"),
-        F.median(F.when(~is_centre, F.col("recovery"))).alias("outer_median"),
-    ).withColumn("centre_stronger", F.col("centre_median") > F.col("outer_median"))
+    sides = {
+        "centre_median": F.when(is_centre, F.col("recovery")),
+        "outer_median": F.when(~is_centre, F.col("recovery")),
+    }
+    return exact_medians(stations, [], sides).withColumn("centre_stronger", F.col("centre_median") > F.col("outer_median"))
 
