@@ -3,6 +3,7 @@
 import html
 import itertools
 import re
+import time
 
 import numpy as np
 
@@ -44,6 +45,37 @@ def test_reading():
     assert len(Page("<div>" * 3000 + "x").texts) == 3002
 
 
+def test_elements_and_tags_without_an_end():
+    texts = lambda s: [t for t in Page(s).texts if t]
+    article = f"<article><h1>T</h1><p>{LONG}</p><p>Yes.</p></article>"
+    for page in (
+        f"<html><head><title>x</title><meta name=a>{article}",
+        f"<html><head><title>x</title><style>p {{}}</style><body>{article}",
+        f"<body>{article[:-10]}<noscript><p>{LONG}</p></article>",
+        f"<body>{article[:-10]}<svg><p>{LONG}</p></article>",
+    ):
+        want = f"T {LONG}Yes." + (f" {LONG}".rstrip() if "noscript" in page or "svg" in page else "")
+        assert main_texts([page], *model()) == [want], page
+    assert texts("<p>a<script>b<p>c") == ["a"] and texts("<p>a<style>b</styles><p>c") == ["a"]
+    assert texts("<p>a<template>b<p>c</p><textarea>d</textarea>e") == ["a", "b", "c", "e"]
+    assert texts('<p title="x>a</p><p class="b">c</p>d <a e') == ["a", "c", "d <a e"]
+    assert texts('<p title="x>a</p><p>c</p>d') == ["a", "c", "d"]
+    assert texts("a<svg x</svg y") == ["a<svg x</svg y"]
+
+
+def test_long_broken_pages_are_read_once():
+    size = 1_000_000
+    for part in ("<a ", "<a", "<div></p>", '<a "> "', "<noscript>", "<svg></svg ", "<!x", "<div>", "</p>", '<p class="', "<li><table>", "&lt"):
+        page = (part * (size // len(part)))[:size]
+        start = time.process_time()
+        Page(page + "<p>end.")
+        assert time.process_time() - start < 10, part  # a quadratic reader takes hours
+    start = time.process_time()
+    assert main_texts(["<a " * 333_333], *model()) and time.process_time() - start < 10
+    deep = Page("<div>" * 3000 + "x")
+    assert max(deep.level) <= 514 and deep.texts[-1] == "x"
+
+
 def test_unseen_layouts():
     cases = {
         f'<body><nav>{LONG}</nav><div class="adverts">{LONG}</div><article><h1>T</h1><p>{LONG}</p><p>Yes.</p></article>'

@@ -7,11 +7,15 @@ at once, level by level; texts whose marginal probability is at least one half a
 fitted to the hand-labelled pages in ``labelled_pages`` by scaled gradient ascent on the conditional
 likelihood, whose gradient needs only the same marginals.
 
-Scripts, styles, heads, comments and form fields hold no text nodes. Character references are
+Scripts, styles, heads, titles, comments and form fields hold no text nodes. Character references are
 decoded, white space in a block becomes one space, blocks are joined by one space in page order.
 Defined results: null and empty html give an empty text; broken markup is read as browsers do in the
-usual cases (unclosed elements end with their parent, stray end tags are ignored); rows are read by
-themselves, also repeated ones; extra columns are ignored; an empty table gives an empty result.
+usual cases (unclosed elements end with their parent, stray end tags are ignored). A script or style
+without an end takes the rest of the page; of a head or any other such element without an end only
+the tag is skipped. A tag whose quotation never ends stops at the next ``>``, as do all tags after it;
+a tag without any ``>`` is text. Elements nested more than ``DEEPEST`` deep hang below the one at that
+depth. A page is read in time that grows with its length. Rows are read by themselves, also repeated
+ones; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,13 +33,17 @@ from tidemark.llm.exchange import Batches
 from tidemark.llm.labelled_pages import PAGES
 
 STEPS, RATE, DECAY = 400, 0.2, 0.003
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+DEEPEST = 512
+_TOKEN, _PLAIN = (
+    re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({attributes})>|<[!?][^>]*+>", re.S)
+    for attributes in (r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+", r"[^>]*+")
+)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _MARK = re.compile(r"(?:^|\s)([yn])(?=\s|/|$)")
 
 # HTML's elements without content, with raw text, and inside a line of text.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea select svg math head".split())
+RAW = frozenset("script style noscript template iframe textarea select svg math head title".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time "
     "tt u var wbr".split()
@@ -72,13 +80,15 @@ class Page:
         self.parent, self.features, self.texts, self.marks = [-1], [[len(GROUPS)]], [None], [None]
         self.level = [0]
         self._stack: list[tuple[str, int]] = [("", 0)]
+        self._open_at: dict[str, list[int]] = {}  # where in the stack the elements of a name are
         self._names: dict[int, list[int]] = {}
         self._pieces: list[str] = []
+        self._token = _TOKEN
         self._link, self._linked, self._size = 0, 0, 0
         self._read(source)
 
     def _node(self, features: list[int], text: str | None, mark: str | None) -> int:
-        up = self._stack[-1][1]
+        up = self._stack[min(len(self._stack) - 1, DEEPEST)][1]
         self.parent.append(up)
         self.level.append(self.level[up] + 1)
         self.features.append(features)
@@ -114,20 +124,36 @@ class Page:
 
     def _close(self, tags: set[str], until: frozenset[str]) -> None:
         """Pop to the nearest open element of ``tags``, unless one of ``until`` is nearer."""
-        for i in range(len(self._stack) - 1, 0, -1):
-            tag = self._stack[i][0]
-            if tag in tags:
-                del self._stack[i:]
-                return
-            if tag in until:
-                return
+        nearest = max((at[-1] for t in tags if (at := self._open_at.get(t))), default=0)
+        if nearest and not any(at[-1] > nearest for t in until - tags if (at := self._open_at.get(t))):
+            while len(self._stack) > nearest:
+                self._open_at[self._stack.pop()[0]].pop()
+
+    def _next(self, source: str, at: int, last: int) -> re.Match | None:
+        """The next tag or comment from ``at``, none where only text is left; ``last`` is the last ``>``."""
+        while (start := source.find("<", at)) >= 0:
+            if start < last or source.startswith("<!--", start):
+                found = self._token.match(source, start)
+                if found is None and (found := _PLAIN.match(source, start)):
+                    self._token = _PLAIN  # a quotation has no end
+                if found:
+                    return found
+            at = start + 1
+        return None
+
+    @staticmethod
+    def _raw_end(source: str, tag: str, at: int) -> int:
+        """Behind the end tag of a raw element, or -1."""
+        end = re.compile(f"</{re.escape(tag)}(?=[\\s>/])", re.I).search(source, at)
+        if end is None and tag == "head":
+            end = re.compile(r"(?=<body\b)", re.I).search(source, at)
+            return end.end() if end else -1
+        return source.find(">", end.end()) + 1 or -1 if end else -1
 
     def _read(self, source: str) -> None:
-        at = 0
-        while True:
-            match = _TOKEN.search(source, at)
-            if match is None:
-                break
+        at, last = 0, source.rfind(">")
+        endless: set[str] = set()
+        while match := self._next(source, at, last):
             if match.start() > at:
                 self._say(source[at : match.start()])
             at = match.end()
@@ -137,10 +163,13 @@ class Page:
             tag = tag.lower()
             if tag in RAW:
                 if not match[1] and not match[3].endswith("/"):
-                    end = re.compile(f"</{re.escape(tag)}(?=[\\s>/])[^>]*>", re.I).search(source, at)
-                    if end is None and tag == "head":
-                        end = re.compile(r"(?=<body\b)", re.I).search(source, at)
-                    at = end.end() if end else len(source)
+                    end = -1 if tag in endless else self._raw_end(source, tag, at)
+                    if end >= 0:
+                        at = end
+                    elif tag in ("script", "style"):
+                        at = len(source)
+                    else:
+                        endless.add(tag)
                 if tag not in ("svg", "math"):
                     self._flush()
             elif tag in INLINE:
@@ -164,7 +193,7 @@ class Page:
 
     def _open(self, tag: str, attributes: str) -> None:
         if self._stack[-1][0] == "p":
-            self._stack.pop()
+            self._open_at[self._stack.pop()[0]].pop()
         if tag in ENDS:
             self._close(ENDS[tag], frozenset(("ul", "ol", "dl", "table", "select")))
         features = [_GROUP.get(tag, len(GROUPS))]
@@ -175,7 +204,9 @@ class Page:
                 features += [_TEXT + 1 + i for i, word in enumerate(WORDS) if word.search(names)]
             told = _MARK.search(attributes)
             mark = told and told[1]
-        self._stack.append((tag, self._node(features, None, mark)))
+        node = self._node(features, None, mark)
+        self._open_at.setdefault(tag, []).append(len(self._stack))
+        self._stack.append((tag, node))
 
 
 class Forest:
