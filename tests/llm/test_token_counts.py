@@ -6,7 +6,7 @@ import pyarrow as pa
 
 from tidemark.llm.arrays import slices
 from tidemark.llm.pretokens import Points
-from tidemark.llm.token_counts import count_tokens, library, op6_token_counts, vocabulary_path
+from tidemark.llm.token_counts import _least_common, count_tokens, library, op6_token_counts, vocabulary_path
 
 SF = "/root/testdata/sf0.001"
 PIECES = ["a", "Bc", "é", "ß", "don't", "'s", "'re", "'x", "''s", " 's", "\n's", "12", "٣", "½", "!", "…", " ", "  ", "\n", "\t", "\xa0", "　",
@@ -47,6 +47,16 @@ def test_counts_equal_library(spark):
     assert count_tokens(df.where("doc_id = -5"), path).count() == 0
 
 
+def test_common_cutoff(spark):
+    rng = random.Random(4)
+    counts = [rng.choice([1, 1, 1, 2, 3, 9, 10, 500, 10**6, rng.randint(1, 10**9)]) for _ in range(2000)]
+    table = spark.createDataFrame([(c,) for c in counts], "n bigint")
+    for common, least in ((0, 0), (900, 600), (2000, 2000)):
+        cut = _least_common(table, common)
+        assert least <= sum(c >= cut for c in counts) <= common
+    assert _least_common(table.limit(0), 5) > 10**18
+
+
 def test_whole_table(spark):
     tokenizer = library(vocabulary_path("byte_bpe_50k.json"))
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()

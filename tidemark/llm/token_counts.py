@@ -1,9 +1,10 @@
 """Token counts without token ids: pieces are counted once per distinct pre-token.
 
 Each partition states its distinct pre-tokens with their frequencies; the merged table is tokenised
-once per pre-token. Documents are then read again as pre-token frequencies. The ``common`` most
-frequent pre-tokens are a table of bounded size that is sent to every task and joined there; the
-frequencies of all others are joined by shuffle, and each document's products are summed.
+once per pre-token. Documents are then read again as pre-token frequencies. The most frequent
+pre-tokens, at most ``common`` of them by a cutoff from a histogram of their counts, are a table of
+bounded size that is sent to every task and joined there; the frequencies of all others are joined by
+shuffle, and each document's products are summed.
 
 Defined results: a null text is an empty one; texts that hold a special string are tokenised whole
 by the library; every row is counted by itself, also rows that share a doc_id or have none; extra
@@ -67,6 +68,21 @@ def _whole(texts: Texts, i: int) -> str:
     return texts.data[texts.bounds[i] : texts.bounds[i + 1]].tobytes().decode()
 
 
+def _least_common(table: DataFrame, common: int) -> int:
+    """The least count that at most ``common`` pre-tokens reach, to an eighth of a power of two.
+
+    The histogram has at most eight rows for each of 63 powers, whatever the table's size.
+    """
+    level = F.floor(8 * F.log2("n")).alias("level")
+    least, held = (1 << 63) - 1, 0
+    for row in table.groupBy(level).agg(F.count("*").alias("size"), F.min("n").alias("n")).orderBy(F.desc("level")).collect():
+        held += row["size"]
+        if held > common:
+            break
+        least = row["n"]
+    return least
+
+
 def count_tokens(docs: DataFrame, path: str, common: int = COMMON) -> DataFrame:
     """row, doc_id, n_bytes, n_tokens for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -117,7 +133,7 @@ def count_tokens(docs: DataFrame, path: str, common: int = COMMON) -> DataFrame:
         .agg(F.min("word").alias("word"), F.sum("n").alias("n"))
         .mapInArrow(pieces, "h1 bigint, h2 int, n bigint, pieces bigint")
     )
-    top = table.orderBy(F.desc("n"), "h1", "h2").limit(common).select("h1", "h2", F.col("pieces").cast("int")).toArrow()
+    top = table.where(F.col("n") >= _least_common(table, common)).select("h1", "h2", F.col("pieces").cast("int")).toArrow()
     one, two = np.asarray(top["h1"]).view(np.uint64), np.asarray(top["h2"]).view(np.uint32)
     order = np.argsort(one)
     shared = spark.sparkContext.broadcast((one[order], two[order], np.asarray(top["pieces"])[order]))
