@@ -51,6 +51,17 @@ def test_windows_cover_all_words():
         assert hit == set(range(n))
 
 
+def test_rows_of_one_id_are_learned_once(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "UPDATES", 8)
+    docs = [(i, f"some calm words {i}" + (" vileword" if i % 2 else "")) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, toxic int")
+    assert learned(df, labels) == learned(df.union(df).union(df).repartition(5), labels)
+    twice = [(3, None), (3, "another vileword"), (4, "and more calm"), (4, "and more calm")]
+    more = df.union(spark.createDataFrame(twice, df.schema))
+    assert learned(more, labels) == learned(more.orderBy("text"), labels)
+
+
 def test_held_out_accuracy_and_odd_rows(spark, monkeypatch):
     rows = {r.doc_id: r for r in op5_toxicity(spark, SF).collect()}
     told = [(r.toxic, rows[r.doc_id]) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]

@@ -283,12 +283,23 @@ def train(texts: list[str], labels: np.ndarray) -> Network:
 
 
 def learned(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> bytes | None:
-    """Weights fitted in one task to at most ``per_class`` toxic and twice as many clean documents."""
+    """Weights fitted in one task to at most ``per_class`` toxic and twice as many clean documents.
+
+    Of rows that share a chosen doc_id the one whose text has the smallest hash is learned.
+    """
     told = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     least = F.xxhash64("doc_id"), "doc_id"
     chosen = told.where("toxic = 1").orderBy(*least).limit(per_class)
     chosen = chosen.union(told.where("toxic = 0").orderBy(*least).limit(CLEAN_SHARE * per_class))
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").repartition(1)
+    text = F.col("text").cast("string")
+    sample = (
+        docs.select("doc_id", text.alias("text"))
+        .join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", "toxic")
+        .agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+        .select("doc_id", "text", "toxic")
+        .repartition(1)
+    )
 
     def fit(batches: Batches) -> Batches:
         rows = [r for batch in batches for r in batch.to_pylist()]
