@@ -85,6 +85,16 @@ def test_ranks_spearman_and_mann_whitney(spark):
     assert row["u"] == pytest.approx(u)
 
 
+def test_spearman_of_rows_whose_cubed_number_is_no_long(spark):
+    rows = 2_100_000
+    assert rows**3 > 2**63
+    df = spark.range(rows).select((F.col("id") % 10).alias("x"), (F.col("id") % 10 * F.col("id") % 7).alias("y"))
+    i = np.arange(rows)
+    rho = np.corrcoef(average_ranks(i % 10), average_ranks(i % 10 * i % 7))[0, 1]
+    row = ranks.spearman(df, "x", "y").first()
+    assert row["n"] == rows and row["rho"] == pytest.approx(rho, abs=1e-12)
+
+
 def test_first_by_treats_null_keys_as_equal(spark):
     rows = [(3, None, "t"), (1, None, "t"), (2, "a", "t"), (5, "a", "t"), (4, None, None)]
     df = spark.createDataFrame(rows, "job_id long, company_name string, title string")

@@ -58,7 +58,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
         mine = ranks.where(F.col("side") == column)
         ranked = ranked.join(mine.select(F.col("v").alias(column), F.col("rank").alias(f"r{column}")), column)
     c, rx, ry = F.col("c"), F.col("rx"), F.col("ry")
-    n = F.col("n")
+    n = F.col("n").cast("double")  # its cube leaves the range of a long from 2.1 million rows on
     centre = n * (n + 1) * (n + 1) / 4.0
     return (
         ranked.agg(
