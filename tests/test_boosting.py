@@ -119,3 +119,21 @@ def test_nulls_and_empty(spark):
     assert len(scored) == 60
     none = B.fit(df.where("id < 0").selectExpr("*", "true as u"), "id", "y", ["a"], ["u"], B.Boosting(trees=2))
     assert none[0].predict(np.zeros((1, 1))).tolist() == [0.0]
+
+
+def test_sums_of_bins_do_not_reach_the_driver(spark, monkeypatch):
+    """Only splits are collected: a few numbers per node, however many columns and bins there are."""
+    from pyspark import RDD
+
+    sizes, collect = [], RDD.collect
+
+    def told(rdd):
+        rows = collect(rdd)
+        sizes.append(sum(np.asarray(x).nbytes for row in rows for x in np.ravel(np.array(row, object)) if isinstance(x, np.ndarray)))
+        return rows
+
+    monkeypatch.setattr(RDD, "collect", told)
+    monkeypatch.setattr(RDD, "treeReduce", lambda *_: pytest.fail("sums are sent to the driver"))
+    df, *_ = table(spark)
+    B.fit(df.selectExpr("*", "true as whole"), "id", "y", COLUMNS, ["whole", "part"], B.Boosting(trees=2, depth=2, bins=16))
+    assert sizes and max(sizes) == 0

@@ -3,9 +3,10 @@
 The objective is the second-order one of squared error: a leaf's weight is the soft-thresholded
 gradient sum over the row count plus ``l2``, and a split gains what the children's scores exceed their
 parent's by. Columns are binned once. Rows stay distributed as blocks of bins; a level of a tree is one
-job in which every block adds its gradients per (model, node, feature, bin), and the sums meet in a tree
-reduction. Their size depends on the parameters only. The models of all folds and the final one grow
-together, so that folds cost no further jobs.
+job in which every partition adds its gradients per (model, node, feature, bin), and the sums of a node
+meet in one task, which searches its best split. Their size depends on the parameters only, and only
+splits reach the driver. The models of all folds and the final one grow together, so that folds cost no
+further jobs.
 
 Rows are sampled per tree by a hash of their key, columns by a seeded choice, so the model does not
 depend on how the rows are partitioned. A null feature counts as the lowest value.
@@ -200,6 +201,29 @@ def level_sums(block: Block, trees: Sequence[Tree], active: Sequence[Sequence[in
     return out
 
 
+def partition_sums(
+    blocks: Iterator[Block], trees: Sequence[Tree], active: Sequence[Sequence[int]], bins: int, tree: int, p: Boosting
+) -> Iterator[tuple[int, np.ndarray]]:
+    """Number of each active node, over all models, and its sums 2 x features x bins in one partition."""
+    total = None
+    for block in blocks:
+        sums = level_sums(block, trees, active, bins, tree, p)
+        total = sums if total is None else total + sums
+    if total is not None:
+        yield from ((at, total[:, at].copy()) for at in range(total.shape[1]))
+
+
+def node_split(sums: np.ndarray, allowed: np.ndarray, p: Boosting) -> tuple[tuple, tuple[int, int] | None, tuple | None]:
+    """Gradient and row sums of a node, its best split and the sums to the left of that."""
+    g, n = sums
+    split = best_split(g, n, allowed, p)
+    part = None
+    if split:
+        f, b = split
+        part = g[f, : b + 1].sum(), n[f, : b + 1].sum()
+    return (g[0].sum(), n[0].sum()), split, part
+
+
 def fit(
     df: DataFrame, key: str, label: str, columns: Sequence[str], uses: Sequence[str], params: Boosting = Boosting()
 ) -> list[Forest]:
@@ -248,21 +272,23 @@ def fit(
             grown, active = [Tree() for _ in uses], [[0] for _ in uses]
             allowed = sampled_columns(t, len(columns), p)
             for _ in range(p.depth):
-                sums = blocks.map(lambda b: level_sums(_made(b, fresh), grown, active, width, t, p))  # noqa: B023
-                g, n = sums.treeReduce(np.add)
+                parts = min(sum(map(len, active)), blocks.getNumPartitions())
+                told = dict(
+                    blocks.mapPartitions(lambda held: partition_sums((_made(b, fresh) for b in held), grown, active, width, t, p))  # noqa: B023
+                    .reduceByKey(np.add, parts)
+                    .mapValues(lambda sums: node_split(sums, allowed, p))  # noqa: B023
+                    .collect()
+                )
                 at, following = 0, []
                 for m, nodes in enumerate(active):
                     children: list[int] = []
                     for node in nodes:
-                        mine_g, mine_n = g[at], n[at]
+                        total, split, part = told[at]
                         at += 1
-                        total = mine_g[0].sum(), mine_n[0].sum()
                         grown[m].value[node] = float(weight(*total, p)) if total[1] else 0.0
-                        split = best_split(mine_g, mine_n, allowed, p)
                         if split:
                             f, b = split
                             children += (pair := grown[m].split(node, f, float(b)))
-                            part = mine_g[f, : b + 1].sum(), mine_n[f, : b + 1].sum()
                             for child, (cg, cn) in zip(pair, (part, (total[0] - part[0], total[1] - part[1]))):
                                 grown[m].value[child] = float(weight(cg, cn, p))
                     following.append(children)
