@@ -36,3 +36,21 @@ def test_few_distinct_rows_and_empty_table(spark):
     assert cost == 0 and out.select("cluster").distinct().count() == 2
     out, cost = kmeans(df.where("id > 50"), ["a"])
     assert cost == 0 and out.count() == 0 and out.columns == ["id", "a", "cluster"]
+
+
+def test_steps_read_blocks_and_sum_them_like_rows(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.clustering import _Restarts
+
+    df, x = points(spark)
+    rows = df.na.drop().withColumn("_h", F.xxhash64("a", "b")).coalesce(1)
+    work = _Restarts(rows, ["a", "b"])
+    assert work.blocks.count() == 1  # one row for a batch of rows, so that a step takes no rows apart
+    sets = {0: x[:3], 1: x[100:105]}
+    for r, (count, table, cost) in work.sums(sets).items():
+        apart = ((x[:, None] - sets[r]) ** 2).sum(axis=2)
+        at = apart.argmin(axis=1)
+        assert count.tolist() == np.bincount(at, minlength=len(sets[r])).tolist()
+        np.testing.assert_allclose(table, [x[at == c].sum(axis=0) for c in range(len(sets[r]))])
+        np.testing.assert_allclose(cost, apart.min(axis=1).sum())

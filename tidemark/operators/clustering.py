@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import rule_label
 from tidemark.operators.order import with_keys
 from tidemark.operators.quantiles import exact_medians
-from tidemark.runtime import cut_lineage
+from tidemark.runtime import cut_lineage, discard
 
 
 def z_scores(df: DataFrame, columns: Sequence[str], suffix: str = "") -> DataFrame:
@@ -36,9 +36,10 @@ def z_scores(df: DataFrame, columns: Sequence[str], suffix: str = "") -> DataFra
     return df.withColumns(scaled)
 
 
-def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the nearest centre of each row and the squared distance to it."""
-    apart = np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1), 0)
+def _nearest(x: np.ndarray, centres: np.ndarray, squares: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the nearest centre of each row and the squared distance to it; ``squares`` are the rows' own."""
+    squares = (x * x).sum(1) if squares is None else squares
+    apart = np.maximum(squares[:, None] - 2 * x @ centres.T + (centres * centres).sum(1), 0)
     at = apart.argmin(axis=1)
     return at, apart[np.arange(len(x)), at]
 
@@ -55,31 +56,50 @@ def _matrix_of(columns: Sequence[str]) -> Callable[[pa.RecordBatch], np.ndarray]
 
 
 class _Restarts:
-    """Centre sets of all restarts over one written table; every method is one aggregation for all."""
+    """Centre sets of all restarts over one written table; every method is one aggregation for all.
+
+    The table is written once more as blocks of numbers, which every step reads without taking rows apart.
+    """
 
     def __init__(self, rows: DataFrame, columns: Sequence[str]) -> None:
-        self.rows, self.columns = rows, list(columns)
+        self.columns, matrix = list(columns), _matrix_of(columns)
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                values = matrix(batch).tobytes(), np.asarray(batch.column("_h")).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], names=["x", "h"])
+
+        self.blocks = cut_lineage(rows.select("_h", *columns).mapInArrow(pack, "x binary, h binary"))
+
+    def _unpacked(self) -> Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]:
+        d = len(self.columns)
+
+        def unpack(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for x, h in zip(batch.column("x"), batch.column("h")):
+                yield np.frombuffer(x.as_buffer(), np.float64).reshape(-1, d), np.frombuffer(h.as_buffer(), np.uint64)
+
+        return unpack
 
     def sums(self, sets: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
         """Per restart: rows and sums of every cluster, and the cost."""
-        d, matrix = len(self.columns), _matrix_of(self.columns)
+        d, unpack = len(self.columns), self._unpacked()
         schema = pa.schema([("r", pa.int32()), ("c", pa.int32())] + [(f"s{i}", pa.float64()) for i in range(d + 2)])
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = {r: np.zeros((len(c), d + 2)) for r, c in sets.items()}
-            for batch in batches:
-                x = matrix(batch)
+            for x, _ in (block for batch in batches for block in unpack(batch)):
+                squares = (x * x).sum(1)
                 for r, centres in sets.items():
-                    at, apart = _nearest(x, centres)
-                    full = np.column_stack((np.ones(len(x)), apart, x))
-                    for i in range(d + 2):
-                        held[r][:, i] += np.bincount(at, full[:, i], minlength=len(centres))
+                    at, apart = _nearest(x, centres, squares)
+                    held[r][:, 0] += np.bincount(at, minlength=len(centres))
+                    held[r][:, 1] += np.bincount(at, apart, minlength=len(centres))
+                    held[r][:, 2:] += (at == np.arange(len(centres))[:, None]).astype(float) @ x
             for r, table in held.items():
                 arrays = [pa.array(np.full(len(table), r, np.int32)), pa.array(np.arange(len(table), dtype=np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays + [pa.array(table[:, i].copy()) for i in range(d + 2)], schema=schema)
 
         shape = "r int, c int, " + ", ".join(f"s{i} double" for i in range(d + 2))
-        total = self.rows.mapInArrow(emit, shape).groupBy("r", "c").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(d + 2)])
+        total = self.blocks.mapInArrow(emit, shape).groupBy("r", "c").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(d + 2)])
         out = {r: (np.zeros(len(c)), np.zeros((len(c), d)), 0.0) for r, c in sets.items()}
         for row in total.collect():
             count, table, cost = out[row["r"]]
@@ -90,18 +110,18 @@ class _Restarts:
 
     def candidates(self, sets: dict[int, np.ndarray], costs: dict[int, float], wanted: float, turn: int) -> dict[int, np.ndarray]:
         """Rows drawn with a chance in proportion to their squared distance, about ``wanted`` per restart."""
-        d, matrix = len(self.columns), _matrix_of(self.columns)
+        d, unpack = len(self.columns), self._unpacked()
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x, key = matrix(batch), np.asarray(batch.column("_h")).view(np.uint64)
+            for x, key in (block for batch in batches for block in unpack(batch)):
+                squares = (x * x).sum(1)
                 for r, centres in sets.items():
-                    drawn = np.flatnonzero(_uniform(key, r, turn) * costs[r] < wanted * _nearest(x, centres)[1])
+                    drawn = np.flatnonzero(_uniform(key, r, turn) * costs[r] < wanted * _nearest(x, centres, squares)[1])
                     lists = pa.FixedSizeListArray.from_arrays(pa.array(x[drawn].ravel()), d).cast(pa.list_(pa.float64()))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(drawn), r, np.int32)), lists], names=["r", "x"])
 
         out = {r: [c] for r, c in sets.items()}
-        for row in self.rows.mapInArrow(emit, "r int, x array<double>").distinct().orderBy("r", "x").collect():
+        for row in self.blocks.mapInArrow(emit, "r int, x array<double>").distinct().orderBy("r", "x").collect():
             out[row["r"]].append(np.array([row["x"]]))
         return {r: np.concatenate(parts) for r, parts in out.items()}
 
@@ -161,6 +181,7 @@ def kmeans(
         if not active:
             break
     costs = {r: c for r, (_, _, c) in work.sums(sets).items()}
+    discard(work.blocks)
     best = min(costs, key=lambda r: (costs[r], r))
     centres, matrix = df.sparkSession.sparkContext.broadcast(sets[best]), _matrix_of(list(columns))
 
