@@ -22,25 +22,6 @@ _SWEEPS = 20_000
 _TOLERANCE = 1e-9
 
 
-def sparse_rows(weights: DataFrame, key: str, terms: list[str]) -> DataFrame:
-    """``(key, term, w)`` rows to one row per document with parallel index and weight arrays.
-
-    ``terms`` is the bounded vocabulary, so a document holds at most that many entries.
-    """
-    spark = weights.sparkSession
-    index = spark.createDataFrame(
-        pd.DataFrame({"term": terms, "idx": np.arange(len(terms), dtype=np.int32)}),
-        "term string, idx int",
-    )
-    entry = F.sort_array(F.collect_list(F.struct("idx", "w")))
-    return (
-        weights.join(F.broadcast(index), "term")
-        .groupBy(key)
-        .agg(entry.alias("e"))
-        .select(key, F.col("e.idx").alias("idx"), F.col("e.w").alias("w"))
-    )
-
-
 def _chunks(idx: list, w: list) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Slices of a batch with a bounded number of stored values."""
     sizes = np.array([len(i) for i in idx])
@@ -152,7 +133,7 @@ def fit_topics(
     seed: int = 42,
     inner_steps: int = 20,
 ) -> TopicModel:
-    """Factorise ``docs`` (from :func:`sparse_rows`), which should be a written or cached table
+    """Factorise ``docs`` (from :func:`tidemark.operators.tfidf.sparse_rows`), which should be a written or cached table
     because every iteration reads it.
 
     Stops when the error falls by less than ``tolerance`` of its first value.

@@ -24,11 +24,10 @@ def run_topic_model(
 ) -> tuple[DataFrame, nmf.TopicModel]:
     """Document topics ``(key, weights)`` of every document, and the model.
 
-    Vocabulary and topics are fitted on all documents. Term counts and the sparse rows are written once, since every iteration reads them.
+    Vocabulary and topics are fitted on all documents. Texts and sparse rows are written once, since every iteration reads the latter.
     """
-    terms = cut_lineage(tfidf.document_terms(df, key, clean, stop_words))
-    vocab = cut_lineage(tfidf.vocabulary(terms, max_features, min_documents, max_share))
-    names = sorted(r["term"] for r in vocab.select("term").collect())  # at most max_features
-    docs = cut_lineage(nmf.sparse_rows(tfidf.term_weights(terms, key, vocab), key, names))
+    words = tfidf.document_words(df, key, clean)
+    names, idf = tfidf.collected(tfidf.vocabulary(words, stop_words, max_features, min_documents, max_share))
+    docs = cut_lineage(tfidf.sparse_rows(words, key, names, idf, stop_words))
     model = nmf.fit_topics(docs, names, topics, max_iter, seed=seed)
     return nmf.document_topics(docs, key, model), model

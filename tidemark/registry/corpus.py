@@ -204,8 +204,8 @@ def j1(spark, d):
     "prepared",
 )
 def j1_vocabulary(spark, d):
-    terms = W.document_terms(prepared(spark, d), "job_id", "nlp_text_clean", _STOP_LIST)
-    return shaped(W.vocabulary(terms, 5000), {"term": None, "df": None, "cf": None, "idf": 8})
+    words = W.document_words(prepared(spark, d), "job_id", "nlp_text_clean")
+    return shaped(W.vocabulary(words, _STOP_LIST, 5000), {"term": None, "df": None, "cf": None, "idf": 8})
 
 
 @query("j2_fit_sample")
