@@ -1,9 +1,10 @@
 """Non-negative matrix factorisation of a sparse document-term table.
 
-Documents stay distributed. One pass per iteration solves each document's topic weights against
-the broadcast topic matrix H and sums the small products W'V and W'W; only those sums
-(``topics x terms`` numbers, fixed by parameters) reach the driver, where H is updated.
-Document weights are recomputed from H, so no lineage grows with the iterations.
+Documents stay distributed, as written blocks of numbers that every iteration reads. One pass per
+iteration solves each document's topic weights against the broadcast topic matrix H and sums the
+small products W'V and W'W per topic; only those sums (``topics x terms`` numbers, fixed by
+parameters) reach the driver, where H is updated. Document weights are recomputed from H, so no
+lineage grows with the iterations.
 """
 
 from __future__ import annotations
@@ -13,10 +14,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.runtime import cut_lineage
+
 _CHUNK_VALUES = 200_000
 _SWEEPS = 20_000
 _TOLERANCE = 1e-9
@@ -78,50 +82,74 @@ class TopicModel:
         return self.errors[-1] if self.errors else float("nan")
 
 
-def _pass_sums(docs: DataFrame, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def _blocks(docs: DataFrame) -> DataFrame:
+    """The documents as rows of packed numbers: entries per document, their terms and weights."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            idx, w = batch.column("idx"), batch.column("w")
+            size = np.asarray(idx.value_lengths()).astype(np.int32)
+            terms, weights = np.asarray(idx.flatten()), np.asarray(w.flatten())
+            ends = np.cumsum(size, dtype=np.int64)
+            start = 0
+            while start < len(size):
+                before = int(ends[start - 1]) if start else 0
+                end = max(start + 1, int(np.searchsorted(ends, before + _CHUNK_VALUES, "right")))
+                mine = slice(before, int(ends[end - 1]))
+                row = (size[start:end], terms[mine].astype(np.int32), weights[mine])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x.tobytes()], pa.binary()) for x in row], names=["size", "idx", "w"]
+                )
+                start = end
+
+    return cut_lineage(docs.select("idx", "w").mapInArrow(pack, "size binary, idx binary, w binary"))
+
+
+def _pass_sums(blocks: DataFrame, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """W'V, W'W and the squared error for the best W under ``h``."""
     k, m = h.shape
-    shared = docs.sparkSession.sparkContext.broadcast(h)
+    shared = blocks.sparkSession.sparkContext.broadcast(h)
 
-    def accumulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+        values = [pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())]
+        return pa.RecordBatch.from_arrays(values, names=["topic", "v"])
+
+    def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h_local = shared.value
         gram = h_local @ h_local.T
         wv, ww, error = np.zeros((k, m)), np.zeros((k, k)), 0.0
         for batch in batches:
-            for start, end, rows, idx, w in _chunks(list(batch["idx"]), list(batch["w"])):
-                vh = _project(rows, idx, w, end - start, h_local)
+            for packed in zip(*(batch.column(c) for c in ("size", "idx", "w"))):
+                size, idx, w = (
+                    np.frombuffer(x.as_buffer(), t) for x, t in zip(packed, (np.int32, np.int32, np.float64))
+                )
+                rows_of = np.repeat(np.arange(len(size)), size)
+                vh = _project(rows_of, idx, w, len(size), h_local)
                 weights = _solve(vh, gram)
                 for j in range(k):
-                    wv[j] += np.bincount(idx, weights=w * weights[rows, j], minlength=m)
+                    wv[j] += np.bincount(idx, weights=w * weights[rows_of, j], minlength=m)
                 ww += weights.T @ weights
                 error += float(
                     w @ w - 2 * np.sum(weights * vh) + np.sum((weights @ gram) * weights)
                 )
-        yield pd.DataFrame(
-            {
-                "part": ["wv"] * k + ["ww"] * k + ["error"],
-                "topic": [*range(k), *range(k), 0],
-                "v": [*wv, *ww, np.array([error])],
-            }
-        )
+        yield rows({j: np.concatenate((wv[j], ww[j], [error if j == 0 else 0.0])) for j in range(k)})
 
-    partial = docs.select("idx", "w").mapInPandas(
-        accumulate, "part string, topic int, v array<double>"
-    )
-    sums = (
-        partial.select("part", "topic", F.posexplode("v").alias("pos", "x"))
-        .where(F.col("x") != 0)
-        .groupBy("part", "topic", "pos")
-        .agg(F.sum("x").alias("x"))
-        .toPandas()  # at most topics * (terms + topics) + 1 numbers
-    )
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for topic, v in zip(batch.column("topic").to_pylist(), batch.column("v")):
+                part = np.frombuffer(v.as_buffer())
+                sums[topic] = sums[topic] + part if topic in sums else part.copy()
+        yield rows(sums)
+
+    shape = "topic int, v binary"
+    partial = blocks.mapInArrow(accumulate, shape)
+    sums = partial.repartition("topic").mapInArrow(add, shape).toArrow()  # topics * (terms + topics + 1) numbers
     shared.unpersist()
-    wv, ww = np.zeros((k, m)), np.zeros((k, k))
-    for name, target in (("wv", wv), ("ww", ww)):
-        cells = sums[sums["part"] == name]
-        target[cells["topic"].to_numpy(), cells["pos"].to_numpy()] = cells["x"].to_numpy()
-    error = float(sums.loc[sums["part"] == "error", "x"].sum())
-    return wv, ww, max(error, 0.0)
+    total = np.zeros((k, m + k + 1))
+    for topic, v in zip(sums["topic"].to_pylist(), sums["v"].to_pylist()):
+        total[topic] = np.frombuffer(v)
+    return total[:, :m], total[:, m : m + k], max(float(total[0, -1]), 0.0)
 
 
 def fit_topics(
@@ -133,8 +161,8 @@ def fit_topics(
     seed: int = 42,
     inner_steps: int = 20,
 ) -> TopicModel:
-    """Factorise ``docs`` (from :func:`tidemark.operators.tfidf.sparse_rows`), which should be a written or cached table
-    because every iteration reads it.
+    """Factorise ``docs`` (from :func:`tidemark.operators.tfidf.sparse_rows`), which should be a written or
+    cached table.
 
     Stops when the error falls by less than ``tolerance`` of its first value.
     """
@@ -146,8 +174,9 @@ def fit_topics(
         np.random.default_rng(seed).standard_normal((topics, len(terms)))
     )
     errors: list[float] = []
+    blocks = _blocks(docs)
     for _ in range(max_iter):
-        wv, ww, squared = _pass_sums(docs, h)
+        wv, ww, squared = _pass_sums(blocks, h)
         errors.append(float(np.sqrt(squared)))
         if len(errors) > 1 and errors[-2] - errors[-1] < tolerance * errors[0]:
             break
