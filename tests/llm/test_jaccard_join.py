@@ -6,7 +6,18 @@ import re
 import numpy as np
 import pytest
 
-from tidemark.llm.jaccard_join import Bands, allocate, jaccard_components, op11_jaccard_join
+from tidemark.llm.jaccard_join import (
+    FULL,
+    LOOKS,
+    LOOKS_WITHOUT,
+    NEAR,
+    WITHOUT,
+    Bands,
+    _blocks,
+    allocate,
+    jaccard_components,
+    op11_jaccard_join,
+)
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -87,3 +98,31 @@ def test_allocation_keeps_the_pigeonhole():
         spare = int(rng.integers(0, m))
         errors = allocate(rng.integers(-1, 200, m), rng.integers(0, 9, m), spare, 64)
         assert (errors + 1).sum() == m - spare
+
+
+def test_blocks_hold_every_pair_and_few_rows(spark):
+    """Each pair that may be compared meets as a visitor and a host; a crowd that nobody looks for stays out."""
+    rng = random.Random(4)
+    kinds = [FULL, FULL | LOOKS, FULL | NEAR, FULL | LOOKS | NEAR, WITHOUT, WITHOUT | LOOKS_WITHOUT]
+    rows = [(k, i, rng.choice(kinds), rng.choice([i, 0, 1])) for k in range(6) for i in range(k, 40)]
+    rows += [(7, i, FULL, i) for i in range(300)] + [(7, 300, FULL | LOOKS, 300)]  # one looks at 300 others
+    rows += [(8, i, FULL | LOOKS, 0) for i in range(300)] + [(8, 300, WITHOUT, 300)]  # unequal keys on both sides
+    rows += [(9, i, WITHOUT, i) for i in range(300)] + [(9, 300, FULL | LOOKS, 300)]
+    placed = spark.createDataFrame(rows, "key long, id long, kind int, comp long")
+    signs = spark.createDataFrame([(i, 0, 9, b"") for i in range(301)], "id long, lower int, n long, sign binary")
+    got = _blocks(placed, signs, 8).collect()
+
+    def fit(a, b):
+        less = (a & WITHOUT and b & NEAR) or (a & LOOKS_WITHOUT and b & FULL)
+        return (a & b & FULL and (a | b) & LOOKS) or less or (b & WITHOUT and a & NEAR) or (b & LOOKS_WITHOUT and a & FULL)
+
+    def pairs(x, y):
+        return {(min(a.id, b.id), max(a.id, b.id), a.key) for a in x for b in y if a.comp != b.comp and fit(a.kind, b.kind)}
+
+    groups = {}
+    for r in got:
+        groups.setdefault((r.key, r.one, r.two), ([], []))[r.visits].append(r)
+    want = set().union(*(pairs([r for r in placed.collect() if r.key == k], [r for r in placed.collect() if r.key == k]) for k in (0, 1, 2, 3, 4, 5, 7)))
+    assert set().union(*(pairs(*g) for g in groups.values())) == want and len(want) > 300
+    # 300 hosts meet the one that looks: a row each, and its own 39 visits
+    assert sum(r.key == 7 for r in got) <= 301 + 38 and not any(r.key in (8, 9) for r in got)

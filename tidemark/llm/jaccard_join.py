@@ -30,6 +30,8 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -383,30 +385,52 @@ def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
     return both
 
 
+def _meets(kind: Column, others: Column) -> Column:
+    """Whether an entry of this kind may pair with one of others' kinds (see ``_meet``)."""
+    has = lambda c, bits: c.bitwiseAND(bits) > 0
+    looks = LOOKS | LOOKS_WITHOUT
+    equal = (has(kind, FULL) & has(others, looks)) | (has(kind, looks) & has(others, FULL))
+    return equal | (has(kind, WITHOUT) & has(others, NEAR)) | (has(kind, NEAR) & has(others, WITHOUT))
+
+
 def _blocks(placed: DataFrame, signs: DataFrame, block: int) -> DataFrame:
-    """Entries of mixed buckets in pairs of blocks: those outside the bucket's largest component are
-    visitors, and every block of visitors meets every block. A pair of blocks is bounded."""
-    per = placed.groupBy("key", "comp").agg(F.count("*").alias("c"), F.bit_or("kind").alias("kinds"))
+    """Entries of mixed buckets in pairs of blocks: visitors are the entries outside the bucket's largest
+    component or those that look for others, whichever are fewer, since every pair has one of each. Every
+    block of visitors meets every block. A pair of blocks is bounded. Entries that can pair with no other
+    component of their bucket are left out."""
+    looking = F.col("kind").bitwiseAND(LOOKS | NEAR | LOOKS_WITHOUT) > 0
+    bits = (FULL, LOOKS, NEAR, WITHOUT, LOOKS_WITHOUT)
+    held = lambda kinds, bit: F.col(kinds).bitwiseAND(bit) > 0
+    beside = lambda bit: F.col(f"with{bit}") > held("top.kinds", bit).cast("int")
+    per = placed.groupBy("key", "comp").agg(
+        F.count("*").alias("c"), F.count_if(looking).alias("looking"), F.bit_or("kind").alias("kinds")
+    )
     buckets = (
         per.groupBy("key")
         .agg(
-            F.count("*").alias("k"), F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("top"),
-            F.bit_or("kinds").alias("kinds"),
+            F.count("*").alias("k"), F.sum("c").alias("n"), F.sum("looking").alias("looking"),
+            F.max(F.struct("c", "comp", "kinds")).alias("top"), F.bit_or("kinds").alias("every"),
+            *[F.count_if(held("kinds", bit)).alias(f"with{bit}") for bit in bits],
         )
-        .where((F.col("k") > 1) & (F.col("kinds").bitwiseAND(LOOKS | NEAR | LOOKS_WITHOUT) > 0))
+        .where((F.col("k") > 1) & (F.col("looking") > 0))
+        .withColumn("outside", F.col("n") - F.col("top.c"))
         .select(
-            "key", F.col("top.comp").alias("main"),
+            "key", F.col("top.comp").alias("main"), "every",
+            reduce(Column.bitwiseOR, [F.when(beside(bit), bit).otherwise(0) for bit in bits]).alias("others"),
+            (F.col("outside") <= F.col("looking")).alias("out"),
             F.ceil(F.col("n") / block).cast("int").alias("blocks"),
-            F.greatest(F.ceil((F.col("n") - F.col("top.c")) / block), F.lit(1)).cast("int").alias("guests"),
+            F.greatest(F.ceil(F.least("outside", "looking") / block), F.lit(1)).cast("int").alias("guests"),
         )
     )
+    outside = F.col("comp") != F.col("main")
     spread = lambda n: F.pmod(F.xxhash64("id", "key"), n).cast("int")
     every = lambda n: F.sequence(F.lit(0), n - 1)
     rows = (
         placed.join(buckets, "key")
+        .where(_meets(F.col("kind"), F.when(outside, F.col("every")).otherwise(F.col("others"))))
         .withColumn("lower", F.col("kind").bitwiseAND(LOWER))
         .join(signs, ["id", "lower"])
-        .withColumn("guest", F.col("comp") != F.col("main"))
+        .withColumn("guest", F.when(F.col("out"), outside).otherwise(looking))
         .withColumn("home", spread(F.col("blocks")))
         .withColumn("seat", F.when(F.col("guest"), spread(F.col("guests"))))
     )
