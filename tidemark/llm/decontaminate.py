@@ -11,24 +11,29 @@ with the most agreement above ``share`` is judged. Narrower overlaps are reporte
 document and item without a wide one that holds. Items with fewer tokens than a mask are looked up
 whole: every run of as many tokens is hashed, and compared where hashes meet.
 
-The windows of a document are made inside its row and probe the benchmark's seeds in the same stage;
-nothing is shuffled but verified overlaps. The benchmark is broadcast only while its seeds number at
-most ``BROADCAST_SEEDS`` (counted first); a larger one is joined by shuffle.
+The windows of a document are made inside its row and probe the benchmark's distinct seeds in the same
+stage. A window that meets one goes on with the tokens around it, never with its document, and is dealt
+out by document and place, so that a task holds a few tokens per hit whatever the length of a document
+and the number of its hits. Seeds are broadcast as bare hashes, at most ``BROADCAST_SEEDS`` in a pass
+over the documents (more take more passes); the tokens around the benchmark's seeds are broadcast up to
+``BROADCAST_BYTES`` and joined by shuffle beyond.
 
 Tokens are runs of letters and digits, lower-cased. Defined results: null and empty texts match
-nothing; items with fewer tokens than a mask match only runs that equal them; rows sharing a doc_id are one document, also those without one; repeated items are matched each; extra columns are
-ignored; an empty table gives an empty result. The SQL twin states the wide overlaps only; results are
+nothing; items with fewer tokens than a mask match only runs that equal them; rows sharing a doc_id are one
+document, also those without one; repeated items are matched each; extra columns are ignored; an empty table gives an empty result. The SQL twin states the wide overlaps only; results are
 equal where every narrower quote and short item has none.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASKS = ("1110110101", "1101011011", "1011101101")
 REACH, LEAST, SHARE = 10, 13, 80
-BROADCAST_SEEDS = 2_000_000
+BROADCAST_SEEDS, BROADCAST_BYTES = 2_000_000, 32 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -72,25 +77,41 @@ def _best_span(span: int, least: int, share: int) -> Column:
     return F.array_max(F.filter(spans, lambda s: s["n"] >= F.least(F.lit(least), F.col("size"))))
 
 
+def _around(words: str, at: str, span: int, reach: int) -> tuple[Column, Column]:
+    """The tokens of the window at ``at`` and up to ``reach`` to either side, and how many are before it."""
+    back = F.least(F.lit(reach), F.col(at))
+    return F.slice(words, F.col(at) - back + 1, back + span + reach), back
+
+
+def _near(frame: DataFrame, words: str) -> DataFrame:
+    """``frame`` for the small side of a join: broadcast unless the tokens in it are too many."""
+    room = F.sum(F.octet_length(F.array_join(words, "")) + 16 * F.size(words) + 64)
+    return F.broadcast(frame) if (frame.select(room).first()[0] or 0) <= BROADCAST_BYTES else frame
+
+
+def _meeting(windows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The windows that have one of the seeds."""
+    passes = 1 + seeds.count() // BROADCAST_SEEDS
+    share = lambda frame, i: frame.where(F.pmod(F.col("seed"), F.lit(passes)) == i) if passes > 1 else frame
+    found = [share(windows, i).join(F.broadcast(share(seeds, i)), "seed", "left_semi") for i in range(passes)]
+    return reduce(DataFrame.unionByName, found)
+
+
 def _short_runs(texts: DataFrame, items: DataFrame, span: int) -> DataFrame | None:
     """Runs of a document's tokens that equal an item of fewer tokens than a mask."""
     short = items.where(F.size("item_words").between(1, span - 1))
     sizes = sorted(r[0] for r in short.select(F.size("item_words")).distinct().collect())
     if not sizes:
         return None
-    few = short.count() <= BROADCAST_SEEDS
     short = short.select("item_id", "item_words", F.xxhash64("item_words").alias("seed"))
-    starts = lambda k: F.when(F.size("words") >= k, F.sequence(F.lit(0), F.size("words") - k))
-    named = lambda k: lambda i: F.struct(i.alias("at"), F.lit(k).alias("n"))
-    runs = [F.transform(starts(k), named(k)) for k in sizes]
-    run = F.explode(F.flatten(F.array_compact(F.array(*runs)))).alias("run")
-    words = F.slice("words", F.col("run.at") + 1, F.col("run.n"))
-    found = texts.select("doc_id", "words", run).select("doc_id", "run", words.alias("mine"))
-    found = found.withColumn("seed", F.xxhash64("mine")).join(F.broadcast(short) if few else short, "seed")
+    starts = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1))
+    runs = [F.struct(F.slice("words", F.col("at") + 1, k).alias("mine"), F.lit(k).alias("n")) for k in sizes]
+    found = texts.select("doc_id", "words", F.explode(starts).alias("at"))
+    found = found.select("doc_id", "at", F.inline(F.array(*runs))).where(F.size("mine") == F.col("n"))
+    found = found.withColumn("seed", F.xxhash64("mine")).join(_near(short, "item_words"), "seed")
     return found.where(F.col("mine") == F.col("item_words")).select(
-        "doc_id", "item_id", F.lit(True).alias("wide"), F.col("run.at").alias("first"),
-        F.col("run.n").alias("n"), F.col("run.n").alias("alike"),
-    )
+        "doc_id", "item_id", F.lit(True).alias("wide"), F.col("at").alias("first"), "n", F.col("n").alias("alike")
+    )
 
 
 def contaminated(
@@ -108,24 +129,27 @@ def contaminated(
     items = every.where(F.size("item_words") >= span)
     seeds = _seeds(
         items.withColumn("h", F.transform("item_words", lambda w: F.xxhash64(w))), "at_item", masks
-    ).select("seed", "item_id", "at_item", "item_words")
-    few = seeds.count() <= BROADCAST_SEEDS
-    near = F.broadcast if few else lambda frame: frame
+    )
+    theirs, before = _around("item_words", "at_item", span, reach)
+    theirs = seeds.select(
+        "seed", "item_id", F.size("item_words").alias("size"), before.alias("their_back"), theirs.alias("theirs")
+    )
     texts = docs.select("doc_id", tokens(F.col("text")).alias("words")).withColumn("h", hashed)
+    mine, before = _around("words", "at", span, reach)
     hits = (
-        _seeds(texts, "at", masks)
-        .join(near(seeds.select("seed").distinct()), "seed", "left_semi")
-        .join(near(seeds), "seed")
+        _meeting(_seeds(texts, "at", masks), seeds.select("seed").distinct())
+        .select("seed", "doc_id", "at", before.alias("my_back"), mine.alias("mine"))
+        .repartition("doc_id", "at")
+        .join(_near(theirs, "theirs"), "seed")
     )
     # the overlap: how far both texts go to the left, and how many tokens are compared
-    back = F.least(F.lit(reach), F.col("at"), F.col("at_item"))
-    ahead = F.least(F.lit(span + reach), F.size("words") - F.col("at"), F.size("item_words") - F.col("at_item"))
+    back = F.least("my_back", "their_back")
+    ahead = F.least(F.size("mine") - F.col("my_back"), F.size("theirs") - F.col("their_back"))
     laid = hits.select(
-        "doc_id", "item_id", (F.col("at") - back).alias("first"), back.alias("back"), (back + ahead).alias("n"),
-        F.size("item_words").alias("size"),
+        "doc_id", "item_id", (F.col("at") - back).alias("first"), back.alias("back"), (back + ahead).alias("n"), "size",
         F.zip_with(
-            F.slice("words", F.col("at") - back + 1, back + ahead),
-            F.slice("item_words", F.col("at_item") - back + 1, back + ahead),
+            F.slice("mine", F.col("my_back") - back + 1, back + ahead),
+            F.slice("theirs", F.col("their_back") - back + 1, back + ahead),
             lambda a, b: a == b,
         ).alias("same"),
     )
